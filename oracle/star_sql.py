@@ -65,9 +65,9 @@ star_orders AS (
 ),
 priced_lines AS (
     SELECT *,
-           CAST((CAST(ROUND(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT))
-                * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS unit_price,
-           CAST(l_discount AS DECIMAL(4,2)) AS discount
+           CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) // CAST(l_quantity AS BIGINT)
+               AS unit_cents,
+           CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS percent_off
     FROM lineitem
 ),
 raw_order_items AS (
@@ -75,9 +75,11 @@ raw_order_items AS (
            l_linenumber AS line_item,
            l_partkey AS product_id,
            CAST(l_quantity AS INTEGER) AS quantity,
-           unit_price,
-           NULLIF(discount, 0) AS discount_pct,
-           CAST(unit_price * (1 - discount) AS DECIMAL(10,2)) AS final_unit_price
+           CAST(unit_cents * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS unit_price,
+           CAST(NULLIF(percent_off, 0) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(4,2))
+               AS discount_pct,
+           CAST((unit_cents * (100 - percent_off) + 50) // 100 * CAST(0.01 AS DECIMAL(3,2))
+                AS DECIMAL(10,2)) AS final_unit_price
     FROM priced_lines
 ),
 star_order_items AS (

@@ -1,13 +1,28 @@
 """Numeric conventions shared by every report.
 
-Money stays DECIMAL through every SUM. Ratios are taken in DOUBLE, give NULL
-for a zero divisor and are rounded last; reports publish money as DOUBLE.
+Prices are DECIMAL with two places, so amounts are added up as whole cents in
+BIGINT: exact, a third of a DECIMAL sum's width in a shuffle, and an overflow
+raises. Reports publish amounts as DOUBLE. Ratios are taken in DOUBLE, give
+NULL for a zero divisor and are rounded last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def in_cents(df: DataFrame, price: str) -> Column:
+    """A price column in whole cents; refuses a type that cents cannot hold."""
+    kind = df.schema[price].dataType
+    if not (isinstance(kind, T.DecimalType) and kind.scale <= 2):
+        raise TypeError(f"{price} is {kind.simpleString()}, not a DECIMAL of at most 2 places")
+    return (F.col(price) * 100).cast("bigint")
+
+
+def dollars(cents: Column | str) -> Column:
+    return (F.col(cents) if isinstance(cents, str) else cents) / 100
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -29,12 +44,3 @@ def rounded_ratio(numerator: Column, denominator: Column, digits: int) -> Column
 
 def percent(numerator: Column, denominator: Column, digits: int = 1) -> Column:
     return rounded(ratio(numerator, denominator) * 100, digits)
-
-
-def money(amount: Column) -> Column:
-    """An amount rounded to cents, still DECIMAL so later sums stay exact."""
-    return F.round(amount, 2)
-
-
-def published(amount: str) -> Column:
-    return F.col(amount).cast("double").alias(amount)

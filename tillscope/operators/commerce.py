@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.fixed_values import CANCELLED, NO_PROMOTION, ONLINE, RETURNED
-from tillscope.functions.numbers import money, percent, published, rounded_ratio
+from tillscope.functions.numbers import dollars, in_cents, percent, rounded_ratio
 from tillscope.plans.facts import (
     customer_totals,
     kept_orders,
-    line_list_value,
     line_revenue,
     sold_orders,
 )
@@ -26,8 +25,8 @@ def executive_summary(
         star.order_items.join(costs, "product_id")
         .groupBy("order_id")
         .agg(
-            F.sum(line_revenue()).alias("revenue"),
-            F.sum(F.col("quantity") * F.col("unit_cost")).alias("cost"),
+            F.sum(line_revenue(star.order_items)).alias("revenue"),
+            F.sum(F.col("quantity") * in_cents(costs, "unit_cost")).alias("cost"),
             F.sum("quantity").alias("units"),
         )
         .join(kept_orders(star, excluded_status).select("order_id", "status"), "order_id")
@@ -42,10 +41,10 @@ def executive_summary(
     orders = F.col("total_orders")
     return totals.select(
         "total_orders",
-        money(F.col("revenue")).cast("double").alias("total_revenue"),
-        money(F.col("profit")).cast("double").alias("gross_profit"),
+        dollars("revenue").alias("total_revenue"),
+        dollars("profit").alias("gross_profit"),
         percent(F.col("profit"), F.col("revenue")).alias("gross_margin_pct"),
-        rounded_ratio(F.col("revenue"), orders, 2).alias("avg_order_value"),
+        rounded_ratio(dollars("revenue"), orders, 2).alias("avg_order_value"),
         rounded_ratio(F.col("units"), orders, 1).alias("avg_units_per_order"),
         "returned_orders",
         percent(F.col("returned_orders"), orders).alias("return_rate_pct"),
@@ -84,10 +83,10 @@ def promo_effectiveness(
         report.select(
             F.coalesce("promo_name", F.lit(no_promo_label)).alias("promo_name"),
             "order_count",
-            rounded_ratio(F.col("revenue"), F.col("order_count"), 2).alias("avg_order_value"),
+            rounded_ratio(dollars("revenue"), F.col("order_count"), 2).alias("avg_order_value"),
             rounded_ratio(F.col("units"), F.col("order_count"), 1).alias("avg_basket_size"),
-            money(F.col("revenue")).cast("double").alias("total_revenue"),
-            money(discount).cast("double").alias("total_discount_given"),
+            dollars("revenue").alias("total_revenue"),
+            dollars(discount).alias("total_discount_given"),
             percent(discount, F.col("list_value")).alias("effective_discount_pct"),
             "is_total",
         )
@@ -110,23 +109,22 @@ def state_benchmark(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
         .agg(
             F.sum("orders").alias("orders"),
             F.count("customer_id").alias("active_customers"),
-            F.sum("revenue").alias("exact_revenue"),
+            F.sum("revenue").alias("revenue"),
         )
-        .withColumn("revenue", money(F.col("exact_revenue")))
-        .withColumn("aov", rounded_ratio(F.col("exact_revenue"), F.col("orders"), 2))
+        .withColumn("aov", rounded_ratio(dollars("revenue"), F.col("orders"), 2))
     )
     nation = Window.partitionBy()
     compared = states.withColumn("nation_revenue", F.sum("revenue").over(nation)).withColumn(
         "nat_aov",
-        rounded_ratio(F.col("nation_revenue"), F.sum("orders").over(nation), 2),
+        rounded_ratio(dollars("nation_revenue"), F.sum("orders").over(nation), 2),
     )
     return compared.select(
         "state",
         "orders",
         "active_customers",
-        published("revenue"),
+        dollars("revenue").alias("revenue"),
         "aov",
-        rounded_ratio(F.col("revenue"), F.col("active_customers"), 2).alias("rev_per_customer"),
+        rounded_ratio(dollars("revenue"), F.col("active_customers"), 2).alias("rev_per_customer"),
         "nat_aov",
         percent(F.col("aov") - F.col("nat_aov"), F.col("nat_aov")).alias("aov_vs_national_pct"),
         percent(F.col("revenue"), F.col("nation_revenue")).alias("revenue_share_pct"),
@@ -146,13 +144,13 @@ def store_scorecard(
         .groupBy("store_id")
         .agg(
             F.count(F.lit(1)).alias("orders"),
-            F.sum("revenue").alias("exact_revenue"),
+            F.sum("revenue").alias("cents"),
             F.sum("units").alias("units"),
             F.sum("line_count").alias("lines"),
         )
     )
-    revenue = F.col("exact_revenue")
-    by_revenue = Window.orderBy(F.desc("exact_revenue"))
+    revenue = dollars("cents")
+    by_revenue = Window.orderBy(F.desc("cents"))
     return (
         star.stores.join(per_store, "store_id")
         .select(
@@ -161,7 +159,7 @@ def store_scorecard(
             "city",
             F.col("store_size_sqm").cast("bigint").alias("store_size_sqm"),
             "orders",
-            money(revenue).cast("double").alias("revenue"),
+            revenue.alias("revenue"),
             rounded_ratio(revenue, F.col("store_size_sqm"), 2).alias("revenue_per_sqm"),
             rounded_ratio(revenue, F.col("orders"), 2).alias("aov"),
             rounded_ratio(F.col("units"), F.col("lines"), 1).alias("avg_qty_per_line"),

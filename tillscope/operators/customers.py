@@ -29,7 +29,7 @@ from tillscope.functions.calendar import (
     quarters_between,
 )
 from tillscope.functions.labels import first_match
-from tillscope.functions.numbers import money, percent, published, rounded, rounded_ratio
+from tillscope.functions.numbers import dollars, percent, rounded, rounded_ratio
 from tillscope.functions.ordering import is_median_row, ntile_of, with_position
 from tillscope.plans.facts import customer_totals, kept_orders, order_facts
 from tillscope.sources.star import Star
@@ -93,13 +93,13 @@ def _rfm_segment() -> Column:
     return first_match(rules, RFM_OTHERS)
 
 
-def rfm_customers(
+def _rfm_scores(
     star: Star,
-    as_of: date = RFM_AS_OF,
-    buckets: int = RFM_BUCKETS,
-    excluded_status: str = CANCELLED,
+    as_of: date,
+    buckets: int,
+    excluded_status: str,
 ) -> DataFrame:
-    """Recency, frequency and monetary scores and the segment of every customer.
+    """Measures (monetary in cents), scores and segment per customer.
 
     The three NTILEs rank all customers. Instead of three windows in one task,
     the measures are stacked as (measure, value, customer) and ranked by one
@@ -109,7 +109,7 @@ def rfm_customers(
         "customer_id",
         days_between(F.col("last_order"), F.lit(as_of)).alias("recency_days"),
         F.col("orders").alias("frequency"),
-        money(F.col("revenue")).alias("monetary"),
+        F.col("revenue").alias("monetary"),
     )
     # the most recent customers come last, in the highest bucket
     measures = {
@@ -122,9 +122,7 @@ def rfm_customers(
         F.inline(
             F.array(
                 *(
-                    F.struct(
-                        F.lit(name).alias("measure"), value.cast("decimal(38,2)").alias("value")
-                    )
+                    F.struct(F.lit(name).alias("measure"), value.alias("value"))
                     for name, value in measures.items()
                 )
             )
@@ -138,8 +136,8 @@ def rfm_customers(
         return F.max(F.when(F.col("measure") == measure, F.col(column)))
 
     scores = ranked.groupBy("customer_id").agg(
-        (-of("r", "value")).cast("bigint").alias("recency_days"),
-        of("f", "value").cast("bigint").alias("frequency"),
+        (-of("r", "value")).alias("recency_days"),
+        of("f", "value").alias("frequency"),
         of("m", "value").alias("monetary"),
         of("r", "score").alias("r_score"),
         of("f", "score").alias("f_score"),
@@ -149,6 +147,17 @@ def rfm_customers(
     return scores.withColumn("rfm_combined", combined).withColumn("rfm_segment", _rfm_segment())
 
 
+def rfm_customers(
+    star: Star,
+    as_of: date = RFM_AS_OF,
+    buckets: int = RFM_BUCKETS,
+    excluded_status: str = CANCELLED,
+) -> DataFrame:
+    """Recency, frequency and monetary scores and the segment of every customer."""
+    scores = _rfm_scores(star, as_of, buckets, excluded_status)
+    return scores.withColumn("monetary", dollars("monetary"))
+
+
 def rfm_segmentation(
     star: Star,
     as_of: date = RFM_AS_OF,
@@ -157,7 +166,7 @@ def rfm_segmentation(
 ) -> DataFrame:
     """Size, mean behaviour and revenue share of each RFM segment."""
     segments = (
-        rfm_customers(star, as_of, buckets, excluded_status)
+        _rfm_scores(star, as_of, buckets, excluded_status)
         .groupBy("rfm_segment")
         .agg(
             F.count(F.lit(1)).alias("customer_count"),
@@ -173,8 +182,8 @@ def rfm_segmentation(
         "customer_count",
         rounded_ratio(F.col("recency_days"), customers, 0).alias("avg_recency_days"),
         rounded_ratio(F.col("frequency"), customers, 1).alias("avg_frequency"),
-        rounded_ratio(F.col("monetary"), customers, 2).alias("avg_monetary"),
-        money(F.col("monetary")).cast("double").alias("total_revenue"),
+        rounded_ratio(dollars("monetary"), customers, 2).alias("avg_monetary"),
+        dollars("monetary").alias("total_revenue"),
         percent(F.col("monetary"), F.col("everyone")).alias("revenue_share_pct"),
     ).orderBy(F.desc("total_revenue"), "rfm_segment")
 
@@ -192,8 +201,8 @@ def _lifetime_values(star: Star, excluded_status: str) -> DataFrame:
             "last_order",
             days_between(F.col("first_order"), F.col("last_order")).alias("tenure_days"),
             F.col("orders").alias("lifetime_orders"),
-            money(F.col("revenue")).alias("lifetime_revenue"),
-            rounded_ratio(F.col("revenue"), F.col("lines"), 2).alias("avg_item_spend"),
+            F.col("revenue").alias("lifetime_revenue"),
+            rounded_ratio(dollars("revenue"), F.col("lines"), 2).alias("avg_item_spend"),
         )
     )
 
@@ -201,7 +210,7 @@ def _lifetime_values(star: Star, excluded_status: str) -> DataFrame:
 def clv_customers(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
     """Lifetime value and tenure of every customer."""
     return _lifetime_values(star, excluded_status).withColumn(
-        "lifetime_revenue", published("lifetime_revenue")
+        "lifetime_revenue", dollars("lifetime_revenue")
     )
 
 
@@ -216,7 +225,7 @@ def clv_distribution(
     median averages the middle rows of a distributed ranking; a MEDIAN would
     hold every distinct value of a segment in one task.
     """
-    low, middle, high = tiers
+    low, middle, high = (round(edge * 100) for edge in tiers)
     value = F.col("lifetime_revenue")
     ranked = with_position(
         _lifetime_values(star, excluded_status).select(
@@ -242,8 +251,8 @@ def clv_distribution(
     return per_segment.select(
         "customer_segment",
         "customers",
-        rounded_ratio(F.col("revenue"), customers, 2).alias("avg_clv"),
-        rounded_ratio(F.col("central_sum"), F.col("central_rows"), 2).alias("median_clv"),
+        rounded_ratio(dollars("revenue"), customers, 2).alias("avg_clv"),
+        rounded_ratio(dollars("central_sum"), F.col("central_rows"), 2).alias("median_clv"),
         rounded_ratio(F.col("orders"), customers, 1).alias("avg_orders"),
         rounded_ratio(F.col("tenure"), customers, 0).alias("avg_tenure_days"),
         "clv_under_50",
@@ -272,14 +281,14 @@ def new_vs_returning(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
         days.withColumn("first_day", first_day)
         .filter(F.col("orders") > 0)
         .groupBy(month_start(F.col("order_date")).alias("month"), kind.alias("customer_type"))
-        .agg(F.sum("orders").alias("orders"), money(F.sum("revenue")).alias("revenue"))
+        .agg(F.sum("orders").alias("orders"), F.sum("revenue").alias("revenue"))
         .withColumn("month_revenue", F.sum("revenue").over(Window.partitionBy("month")))
     )
     return months.select(
         "month",
         "customer_type",
         "orders",
-        published("revenue"),
+        dollars("revenue").alias("revenue"),
         percent(F.col("revenue"), F.col("month_revenue")).alias("revenue_share_pct"),
     ).orderBy("month", "customer_type")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.fixed_values import CANCELLED, TOP_PRODUCTS
-from tillscope.functions.numbers import money, percent, published, ratio, rounded_ratio
+from tillscope.functions.numbers import dollars, in_cents, percent, ratio, rounded_ratio
 from tillscope.plans.facts import kept_orders, line_revenue
 from tillscope.sources.star import Star
 
@@ -24,8 +24,8 @@ def category_performance(star: Star, excluded_status: str = CANCELLED) -> DataFr
         .groupBy("order_id", "category")
         .agg(
             F.sum("quantity").alias("units"),
-            F.sum(line_revenue()).alias("revenue"),
-            F.sum(F.col("quantity") * F.col("unit_cost")).alias("cost"),
+            F.sum(line_revenue(star.order_items)).alias("revenue"),
+            F.sum(F.col("quantity") * in_cents(catalogue, "unit_cost")).alias("cost"),
         )
     )
     buyers = kept_orders(star, excluded_status).select("order_id", "customer_id")
@@ -39,24 +39,21 @@ def category_performance(star: Star, excluded_status: str = CANCELLED) -> DataFr
             F.sum("cost").alias("cost"),
         )
     )
-    exact = F.col("exact_revenue")
     categories = (
         per_customer.groupBy("category")
         .agg(
             F.sum("orders").alias("orders"),
             F.sum("units").alias("units_sold"),
-            F.sum("revenue").alias("exact_revenue"),
+            F.sum("revenue").alias("revenue"),
             F.sum("cost").alias("cost"),
             F.count("customer_id").alias("unique_buyers"),
         )
-        .withColumn("revenue", money(exact))
-        .withColumn("gross_profit", money(exact - F.col("cost")))
-        .withColumn("margin_pct", percent(exact - F.col("cost"), exact))
+        .withColumn("profit", F.col("revenue") - F.col("cost"))
     )
     # one row per category from here on
     everything = Window.partitionBy()
     by_revenue = Window.orderBy(F.desc("revenue"))
-    by_profit = Window.orderBy(F.desc("gross_profit"))
+    by_profit = Window.orderBy(F.desc("profit"))
     running = Window.orderBy(F.desc("revenue"), "category").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -64,9 +61,9 @@ def category_performance(star: Star, excluded_status: str = CANCELLED) -> DataFr
         "category",
         "orders",
         "units_sold",
-        published("revenue"),
-        published("gross_profit"),
-        "margin_pct",
+        dollars("revenue").alias("revenue"),
+        dollars("profit").alias("gross_profit"),
+        percent(F.col("profit"), F.col("revenue")).alias("margin_pct"),
         "unique_buyers",
         F.rank().over(by_revenue).cast("bigint").alias("revenue_rank"),
         F.rank().over(by_profit).cast("bigint").alias("profit_rank"),
@@ -88,7 +85,7 @@ def _product_sales(star: Star, excluded_status: str) -> DataFrame:
     return (
         star.order_items.join(kept, "order_id", "left_semi")
         .groupBy("product_id")
-        .agg(F.sum("quantity").alias("units"), F.sum(line_revenue()).alias("revenue"))
+        .agg(F.sum("quantity").alias("units"), F.sum(line_revenue(star.order_items)).alias("revenue"))
         .join(
             star.products.select("product_id", "product_name", "category", "brand"), "product_id"
         )
@@ -104,12 +101,12 @@ def top_products_per_category(
     as well, so a category with most products is no bottleneck.
     """
     best_first = Window.partitionBy("category").orderBy(
-        F.desc("exact_revenue"), "product_name", "brand"
+        F.desc("cents"), "product_name", "brand"
     )
     ranked = (
         _product_sales(star, excluded_status)
         .groupBy("category", "product_name", "brand")
-        .agg(F.sum("units").alias("units_sold"), F.sum("revenue").alias("exact_revenue"))
+        .agg(F.sum("units").alias("units_sold"), F.sum("revenue").alias("cents"))
         .withColumn("rank_in_category", F.row_number().over(best_first))
         .filter(F.col("rank_in_category") <= n)
     )
@@ -118,7 +115,7 @@ def top_products_per_category(
         "product_name",
         "brand",
         "units_sold",
-        money(F.col("exact_revenue")).cast("double").alias("revenue"),
+        dollars("cents").alias("revenue"),
         F.col("rank_in_category").cast("bigint").alias("rank_in_category"),
     ).orderBy("category", "rank_in_category")
 
@@ -128,7 +125,7 @@ def brand_share(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
     brands = (
         _product_sales(star, excluded_status)
         .groupBy("category", "brand")
-        .agg(F.sum("units").alias("units_sold"), money(F.sum("revenue")).alias("revenue"))
+        .agg(F.sum("units").alias("units_sold"), F.sum("revenue").alias("revenue"))
     )
     in_category = Window.partitionBy("category")
     best_first = in_category.orderBy(F.desc("revenue"))
@@ -136,7 +133,7 @@ def brand_share(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
         "category",
         "brand",
         "units_sold",
-        published("revenue"),
+        dollars("revenue").alias("revenue"),
         percent(F.col("revenue"), F.sum("revenue").over(in_category)).alias("category_share_pct"),
         F.rank().over(best_first).cast("bigint").alias("rank_in_category"),
     ).orderBy("category", "rank_in_category", "brand")

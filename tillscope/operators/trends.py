@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillscope.fixed_values import BELOW_TREND, CANCELLED, ON_TREND, ROLLING_ROWS
 from tillscope.functions.calendar import quarter_start
-from tillscope.functions.numbers import money, percent, published, ratio, rounded
+from tillscope.functions.numbers import dollars, percent, ratio, rounded
 from tillscope.plans.facts import monthly_revenue, sold_orders
 from tillscope.sources.star import Star
 
@@ -21,8 +21,8 @@ def monthly_revenue_yoy(star: Star, excluded_status: str = CANCELLED) -> DataFra
     previous = F.col("same_month_prev_year")
     return monthly.select(
         "month",
-        published("revenue"),
-        published("same_month_prev_year"),
+        dollars("revenue").alias("revenue"),
+        dollars("same_month_prev_year").alias("same_month_prev_year"),
         percent(F.col("revenue") - previous, previous).alias("yoy_growth_pct"),
     ).orderBy("month")
 
@@ -45,7 +45,7 @@ def channel_mix(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
     mix = (
         per_customer.groupBy("quarter", "channel")
         .agg(
-            money(F.sum("revenue")).alias("revenue"),
+            F.sum("revenue").alias("revenue"),
             F.sum("orders").alias("orders"),
             F.count("customer_id").alias("customers"),
         )
@@ -56,7 +56,7 @@ def channel_mix(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
     return mix.select(
         "quarter",
         "channel",
-        published("revenue"),
+        dollars("revenue").alias("revenue"),
         "orders",
         "customers",
         percent(revenue, F.col("quarter_revenue")).alias("revenue_share_pct"),
@@ -72,14 +72,17 @@ def rolling_revenue(
     The window has no partition: its input is one row per month.
     """
     trailing = Window.orderBy("month").rowsBetween(1 - rows, 0)
-    monthly = monthly_revenue(star, excluded_status).withColumn(
-        "mean", ratio(F.sum("revenue").over(trailing), F.count("revenue").over(trailing))
+    monthly = (
+        monthly_revenue(star, excluded_status)
+        .withColumn("recent", F.sum("revenue").over(trailing))
+        .withColumn("months", F.count("revenue").over(trailing))
+        .withColumn("mean", ratio(dollars("recent"), F.col("months")))
     )
-    revenue = F.col("revenue").cast("double")
+    below = F.col("revenue") * F.col("months") < F.col("recent")
     return monthly.select(
         "month",
-        published("revenue"),
+        dollars("revenue").alias("revenue"),
         rounded(F.col("mean"), 2).alias("rolling_3m_avg"),
-        rounded(revenue - F.col("mean"), 2).alias("deviation_from_rolling"),
-        F.when(revenue < F.col("mean"), BELOW_TREND).otherwise(ON_TREND).alias("trend_flag"),
+        rounded(dollars("revenue") - F.col("mean"), 2).alias("deviation_from_rolling"),
+        F.when(below, BELOW_TREND).otherwise(ON_TREND).alias("trend_flag"),
     ).orderBy("month")

@@ -8,24 +8,23 @@ the partitioning of the aggregate: one shuffle of lines, one of orders.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.fixed_values import CANCELLED
 from tillscope.functions.calendar import month_start
-from tillscope.functions.numbers import money
+from tillscope.functions.numbers import in_cents
 from tillscope.sources.star import Star
 
 
-def line_revenue() -> Column:
-    return F.col("quantity") * F.col("final_unit_price")
+def line_revenue(items: DataFrame) -> Column:
+    """Revenue of a line in cents."""
+    return F.col("quantity") * in_cents(items, "final_unit_price")
 
 
-def line_list_value() -> Column:
-    """What a line would have cost before its discount."""
-    return F.col("quantity") * F.col("unit_price")
+def line_list_value(items: DataFrame) -> Column:
+    """What a line would have cost before its discount, in cents."""
+    return F.col("quantity") * in_cents(items, "unit_price")
 
 
 def kept_orders(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
@@ -33,9 +32,10 @@ def kept_orders(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
 
 
 def _all_order_facts(star: Star) -> DataFrame:
-    totals = star.order_items.groupBy("order_id").agg(
-        F.sum(line_revenue()).alias("revenue"),
-        F.sum(line_list_value()).alias("list_value"),
+    items = star.order_items
+    totals = items.groupBy("order_id").agg(
+        F.sum(line_revenue(items)).alias("revenue"),
+        F.sum(line_list_value(items)).alias("list_value"),
         F.sum("quantity").alias("units"),
         F.count(F.lit(1)).alias("line_count"),
     )
@@ -43,7 +43,7 @@ def _all_order_facts(star: Star) -> DataFrame:
 
 
 def order_facts(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
-    """One row per kept order; the totals are null for an order without lines."""
+    """One row per kept order, amounts in cents; null totals for one without lines."""
     facts = star.order_facts if star.order_facts is not None else _all_order_facts(star)
     return facts.filter(F.col("status") != excluded_status)
 
@@ -60,10 +60,11 @@ def materialise_order_facts(star: Star, path: str) -> Star:
     over the same star shuffles the lines once instead of once per analysis.
     """
     _all_order_facts(star).write.mode("overwrite").parquet(path)
-    return replace(star, order_facts=star.orders.sparkSession.read.parquet(path))
+    return star.with_order_facts(star.orders.sparkSession.read.parquet(path))
 
 
 def customer_totals(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
+    """One row per customer with sold orders; revenue in cents."""
     return (
         sold_orders(star, excluded_status)
         .groupBy("customer_id")
@@ -78,8 +79,9 @@ def customer_totals(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
 
 
 def monthly_revenue(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
+    """Revenue per month in cents."""
     return (
         sold_orders(star, excluded_status)
         .groupBy(month_start(F.col("order_date")).alias("month"))
-        .agg(money(F.sum("revenue")).alias("revenue"))
+        .agg(F.sum("revenue").alias("revenue"))
     )

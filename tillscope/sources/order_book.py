@@ -6,10 +6,9 @@ source says nothing; ``order_book_star`` fills them as a load does.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.sources.schema import TABLES
 from tillscope.sources.star import Star, fill_defaults
 
 # The promotions of the test star. PR8 and PR9 occur in orders
@@ -121,38 +120,55 @@ def _orders(read) -> DataFrame:
 
 
 def _order_items(read) -> DataFrame:
-    quantity = F.col("l_quantity").cast("int")
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    # whole cents per unit, so both engines agree to the last digit
-    cents = F.expr("CAST(ROUND(l_extendedprice * 100) AS BIGINT) DIV CAST(l_quantity AS BIGINT)")
-    unit_price = (cents.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(
-        "decimal(10,2)"
+    lines = read("lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        F.col("l_quantity").cast("int").alias("quantity"),
+        _hundredths("l_extendedprice").alias("line_cents"),
+        _hundredths("l_discount").alias("percent_off"),
     )
-    return read("lineitem").select(
+    # whole cents throughout, so that both engines agree to the last digit
+    unit_cents = F.expr("line_cents DIV quantity")
+    final_cents = F.floor((unit_cents * (100 - F.col("percent_off")) + 50) / 100)
+    return lines.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_item"),
         F.col("l_partkey").alias("product_id"),
-        quantity.alias("quantity"),
-        unit_price.alias("unit_price"),
-        F.nullif(discount, F.lit(0)).cast("decimal(4,2)").alias("discount_pct"),
-        (unit_price * (1 - discount)).cast("decimal(10,2)").alias("final_unit_price"),
+        "quantity",
+        _as_decimal(unit_cents, "decimal(10,2)").alias("unit_price"),
+        _as_decimal(F.nullif(F.col("percent_off"), F.lit(0)), "decimal(4,2)").alias("discount_pct"),
+        _as_decimal(final_cents, "decimal(10,2)").alias("final_unit_price"),
     )
 
 
+def _hundredths(column: str) -> Column:
+    return F.floor(F.col(column) * 100 + 0.5)
+
+
+def _as_decimal(hundredths: Column, kind: str) -> Column:
+    return (hundredths * F.lit("0.01").cast("decimal(3,2)")).cast(kind)
+
+
+_READERS = {
+    "customers": _customers,
+    "products": _products,
+    "stores": _stores,
+    "orders": _orders,
+    "order_items": _order_items,
+}
+
+
 def raw_star(spark: SparkSession, sf_dir: str) -> Star:
     def read(table: str) -> DataFrame:
         return spark.read.schema(SOURCE_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
-    return Star(
-        customers=_customers(read),
-        products=_products(read),
-        stores=_stores(read),
-        promotions=_promotions(spark),
-        orders=_orders(read),
-        order_items=_order_items(read),
-    )
+    def star_table(name: str) -> DataFrame:
+        return _promotions(spark) if name == "promotions" else _READERS[name](read)
+
+    return Star(star_table)
 
 
 def order_book_star(spark: SparkSession, sf_dir: str) -> Star:
     raw = raw_star(spark, sf_dir)
-    return Star(**{name: fill_defaults(raw.table(name), name) for name in TABLES})
+    return Star(lambda name: fill_defaults(raw.table(name), name))

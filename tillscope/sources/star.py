@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,21 +10,54 @@ from pyspark.sql import functions as F
 from tillscope.sources.schema import TABLES
 
 
-@dataclass(frozen=True)
 class Star:
-    customers: DataFrame
-    products: DataFrame
-    stores: DataFrame
-    promotions: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    #: order-grain facts kept at rest, see ``tillscope.plans.facts``
-    order_facts: DataFrame | None = None
+    """The six tables; each is read when an analysis first asks for it."""
+
+    def __init__(
+        self, read: Callable[[str], DataFrame], order_facts: DataFrame | None = None
+    ) -> None:
+        self._read = read
+        self._tables: dict[str, DataFrame] = {}
+        #: order-grain facts kept at rest, see ``tillscope.plans.facts``
+        self.order_facts = order_facts
+
+    @classmethod
+    def of(cls, **frames: DataFrame) -> Star:
+        return cls(frames.__getitem__)
 
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise KeyError(f"unknown table {name!r}; the star has {', '.join(TABLES)}")
-        return getattr(self, name)
+        if name not in self._tables:
+            self._tables[name] = self._read(name)
+        return self._tables[name]
+
+    def with_order_facts(self, facts: DataFrame) -> Star:
+        return Star(self.table, facts)
+
+    @property
+    def customers(self) -> DataFrame:
+        return self.table("customers")
+
+    @property
+    def products(self) -> DataFrame:
+        return self.table("products")
+
+    @property
+    def stores(self) -> DataFrame:
+        return self.table("stores")
+
+    @property
+    def promotions(self) -> DataFrame:
+        return self.table("promotions")
+
+    @property
+    def orders(self) -> DataFrame:
+        return self.table("orders")
+
+    @property
+    def order_items(self) -> DataFrame:
+        return self.table("order_items")
 
 
 def read_star(spark: SparkSession, root: str) -> Star:
@@ -32,12 +65,7 @@ def read_star(spark: SparkSession, root: str) -> Star:
 
     The declared schema is given, so no file is opened before a query runs.
     """
-    return Star(
-        **{
-            name: spark.read.schema(spec.struct).parquet(f"{root}/{name}")
-            for name, spec in TABLES.items()
-        }
-    )
+    return Star(lambda name: spark.read.schema(TABLES[name].struct).parquet(f"{root}/{name}"))
 
 
 def fill_defaults(df: DataFrame, table: str) -> DataFrame:
