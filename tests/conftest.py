@@ -5,7 +5,13 @@ from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark():
+def shared(tmp_path_factory):
+    """Stands for the folder a cluster names for checkpoints."""
+    return str(tmp_path_factory.mktemp("shared"))
+
+
+@pytest.fixture(scope="session")
+def spark(shared):
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tillscope-tests")
@@ -13,6 +19,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
