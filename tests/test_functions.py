@@ -43,7 +43,15 @@ def test_first_match_wins(spark):
     assert rows(spark.range(3).select(label)) == [("a",), ("b",), ("c",)]
 
 
-def test_positions_equal_row_number_with_a_hot_group_and_ties(spark):
+@pytest.fixture()
+def separate_partitions(spark):
+    """Small as they are, shuffle partitions stay apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_positions_equal_row_number_with_a_hot_group_and_ties(spark, separate_partitions):
     # group 0 holds most rows and half of all rows share one value
     df = spark.range(0, 5000, 1, 7).select(
         F.when(F.col("id") % 5 < 3, 0).otherwise(F.col("id") % 11).alias("g"),
@@ -60,6 +68,7 @@ def test_positions_equal_row_number_with_a_hot_group_and_ties(spark):
     )
     placed = with_position(df, "g", ["v", "k"])
     assert placed.columns == ["g", "v", "k", "position", "group_size"]
+    assert placed.rdd.getNumPartitions() > 4  # the hot group spans several
     assert sorted(rows(placed)) == sorted(rows(expected))
 
 
@@ -80,8 +89,10 @@ def test_median_rows(spark, size, middle):
     assert sorted(r[0] for r in rows(df)) == middle
 
 
-def test_settings_grow_with_the_shuffle():
-    small, large = scale_settings(1 << 20, 8), scale_settings(100 << 40, 8000)
+def test_settings_grow_with_the_input_up_to_what_a_driver_tracks(spark):
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    assert int(small[key]) == 16
-    assert int(large[key]) == 409_600
+    small, large = scale_settings(1 << 20, 8), scale_settings(100 << 40, 8000)
+    middle = scale_settings(1 << 40, 64)
+    assert (small[key], middle[key], large[key]) == ("16", "4096", "50000")
+    assert small["spark.sql.files.maxPartitionBytes"] == "128m"
+    assert large["spark.sql.files.maxPartitionBytes"] == "525m"

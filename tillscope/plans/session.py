@@ -9,22 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 MB = 1 << 20
 #: what one shuffle partition should hold before AQE merges small ones
 PARTITION_BYTES = 256 * MB
+#: the driver tracks every map task times every partition; beyond these,
+#: partitions grow and spill instead
+MAX_PARTITIONS = 50_000
+MAX_SCAN_TASKS = 200_000
 
 
-def scale_settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
-    """Runtime SQL settings for a cluster of ``cores`` that shuffles ``shuffle_bytes``.
+def scale_settings(input_bytes: int, cores: int) -> dict[str, str]:
+    """Runtime SQL settings for ``input_bytes`` of tables on ``cores`` cores.
 
     Partitions start small enough to fit an executor core; AQE merges the ones
     that turn out small and splits join partitions that turn out skewed.
     """
-    partitions = max(2 * cores, -(-shuffle_bytes // PARTITION_BYTES))
+    partitions = min(MAX_PARTITIONS, max(2 * cores, -(-input_bytes // PARTITION_BYTES)))
+    split = max(128, -(-input_bytes // (MAX_SCAN_TASKS * MB)))
     return {
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.files.maxPartitionBytes": f"{split}m",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{PARTITION_BYTES // MB}m",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a hot key also where an aggregate on the join key follows
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # the small first-level map only costs when there are millions of groups
+        "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
     }
 
 

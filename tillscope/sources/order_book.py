@@ -6,7 +6,7 @@ source says nothing; ``order_book_star`` fills them as a load does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.sources.star import Star, fill_defaults
@@ -41,132 +41,99 @@ SOURCE_SCHEMAS = {
 }
 
 
-def _customers(read) -> DataFrame:
-    place = _places(read)
-    customer = read("customer")
-    return customer.join(place, customer.c_nationkey == place.n_nationkey).select(
-        F.col("c_custkey").alias("customer_id"),
-        F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first_name"),
-        F.split_part("c_name", F.lit("#"), F.lit(2)).alias("last_name"),
-        F.col("n_name").alias("state"),
-        F.col("r_name").alias("city"),
-        F.expr("date_add(DATE '1990-01-01', CAST(c_custkey % 1826 AS INT))").alias("signup_date"),
-        F.col("c_mktsegment").alias("customer_segment"),
-    )
-
-
-def _products(read) -> DataFrame:
-    price = F.col("p_retailprice").cast("decimal(10,2)")
-    return read("part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_type").alias("category"),
-        F.concat_ws(" ", "p_type", "p_size").alias("subcategory"),
-        F.col("p_brand").alias("brand"),
-        (price * 2).cast("decimal(10,2)").alias("unit_price"),
-        price.alias("unit_cost"),
-        F.when(F.col("p_size") == 1, F.lit(False)).alias("is_active"),
-    )
-
-
-def _stores(read) -> DataFrame:
-    place = _places(read)
-    supplier = read("supplier")
-    return supplier.join(place, supplier.s_nationkey == place.n_nationkey).select(
-        F.col("s_suppkey").alias("store_id"),
-        F.col("s_name").alias("store_name"),
-        F.col("n_name").alias("state"),
-        F.col("r_name").alias("city"),
-        F.expr("date_add(DATE '1990-01-01', CAST(s_suppkey % 1826 AS INT))").alias("opened_date"),
-        (200 + 100 * (F.col("s_suppkey") % 11)).cast("int").alias("store_size_sqm"),
-    )
-
-
-def _places(read) -> DataFrame:
-    nation, region = read("nation"), read("region")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey)
-
-
-def _promotions(spark: SparkSession) -> DataFrame:
-    return spark.sql(
-        "SELECT promo_id, promo_name, start_date, end_date, "
-        "CAST(discount_pct AS DECIMAL(4,2)) AS discount_pct "
-        f"FROM VALUES {PROMOTION_ROWS} "
-        "AS t(promo_id, promo_name, start_date, end_date, discount_pct)"
-    )
-
-
-def _orders(read) -> DataFrame:
-    priority, key = F.col("o_orderpriority"), F.col("o_orderkey")
-    state = F.col("o_orderstatus")
-    channel = (
-        F.when(priority == "1-URGENT", "Online")
-        .when(priority.isin("2-HIGH", "3-MEDIUM"), "In-Store")
-        .otherwise("Click & Collect")
-    )
-    promo = F.concat(F.lit("PR"), (key % 9 + 1).cast("string"))
-    return read("orders").select(
-        key.alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").cast("date").alias("order_date"),
-        channel.alias("channel"),
-        F.when(priority != "1-URGENT", key % 10).alias("store_id"),
-        F.when(key % 4 == 0, promo).alias("promo_id"),
-        F.when(state == "P", "Cancelled")
-        .when(state == "O", "Returned")
-        .otherwise("Delivered")
-        .alias("status"),
-    )
-
-
-def _order_items(read) -> DataFrame:
-    lines = read("lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        F.col("l_quantity").cast("int").alias("quantity"),
-        _hundredths("l_extendedprice").alias("line_cents"),
-        _hundredths("l_discount").alias("percent_off"),
-    )
-    # whole cents throughout, so that both engines agree to the last digit
-    unit_cents = F.expr("line_cents DIV quantity")
-    final_cents = F.floor((unit_cents * (100 - F.col("percent_off")) + 50) / 100)
-    return lines.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("line_item"),
-        F.col("l_partkey").alias("product_id"),
-        "quantity",
-        _as_decimal(unit_cents, "decimal(10,2)").alias("unit_price"),
-        _as_decimal(F.nullif(F.col("percent_off"), F.lit(0)), "decimal(4,2)").alias("discount_pct"),
-        _as_decimal(final_cents, "decimal(10,2)").alias("final_unit_price"),
-    )
-
-
-def _hundredths(column: str) -> Column:
-    return F.floor(F.col(column) * 100 + 0.5)
-
-
-def _as_decimal(hundredths: Column, kind: str) -> Column:
-    return (hundredths * F.lit("0.01").cast("decimal(3,2)")).cast(kind)
-
-
-_READERS = {
-    "customers": _customers,
-    "products": _products,
-    "stores": _stores,
-    "orders": _orders,
-    "order_items": _order_items,
-}
+# Columns of each star table as SQL over its source.
+_CUSTOMERS = (
+    "c_custkey AS customer_id",
+    "split_part(c_name, '#', 1) AS first_name",
+    "split_part(c_name, '#', 2) AS last_name",
+    "n_name AS state",
+    "r_name AS city",
+    "date_add(DATE '1990-01-01', CAST(c_custkey % 1826 AS INT)) AS signup_date",
+    "c_mktsegment AS customer_segment",
+)
+
+_STORES = (
+    "s_suppkey AS store_id",
+    "s_name AS store_name",
+    "n_name AS state",
+    "r_name AS city",
+    "date_add(DATE '1990-01-01', CAST(s_suppkey % 1826 AS INT)) AS opened_date",
+    "CAST(200 + 100 * (s_suppkey % 11) AS INT) AS store_size_sqm",
+)
+
+_PRODUCTS = (
+    "p_partkey AS product_id",
+    "p_name AS product_name",
+    "p_type AS category",
+    "concat_ws(' ', p_type, p_size) AS subcategory",
+    "p_brand AS brand",
+    "CAST(CAST(p_retailprice AS DECIMAL(10,2)) * 2 AS DECIMAL(10,2)) AS unit_price",
+    "CAST(p_retailprice AS DECIMAL(10,2)) AS unit_cost",
+    "CASE WHEN p_size = 1 THEN FALSE END AS is_active",
+)
+
+_ORDERS = (
+    "o_orderkey AS order_id",
+    "o_custkey AS customer_id",
+    "CAST(o_orderdate AS DATE) AS order_date",
+    "CASE WHEN o_orderpriority = '1-URGENT' THEN 'Online' "
+    "WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN 'In-Store' "
+    "ELSE 'Click & Collect' END AS channel",
+    "CASE WHEN o_orderpriority != '1-URGENT' THEN o_orderkey % 10 END AS store_id",
+    "CASE WHEN o_orderkey % 4 = 0 THEN concat('PR', o_orderkey % 9 + 1) END AS promo_id",
+    "CASE WHEN o_orderstatus = 'P' THEN 'Cancelled' WHEN o_orderstatus = 'O' THEN 'Returned' "
+    "ELSE 'Delivered' END AS status",
+)
+
+# whole cents first, so that both engines agree to the last digit
+_LINE_CENTS = (
+    "l_orderkey AS order_id",
+    "l_linenumber AS line_item",
+    "l_partkey AS product_id",
+    "CAST(l_quantity AS INT) AS quantity",
+    "floor(l_extendedprice * 100 + 0.5D) DIV CAST(l_quantity AS INT) AS unit_cents",
+    "floor(l_discount * 100 + 0.5D) AS percent_off",
+)
+
+_ORDER_ITEMS = (
+    "order_id",
+    "line_item",
+    "product_id",
+    "quantity",
+    "CAST(unit_cents * 0.01 AS DECIMAL(10,2)) AS unit_price",
+    "CAST(nullif(percent_off, 0) * 0.01 AS DECIMAL(4,2)) AS discount_pct",
+    "CAST((unit_cents * (100 - percent_off) + 50) DIV 100 * 0.01 AS DECIMAL(10,2)) "
+    "AS final_unit_price",
+)
 
 
 def raw_star(spark: SparkSession, sf_dir: str) -> Star:
     def read(table: str) -> DataFrame:
         return spark.read.schema(SOURCE_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
-    def star_table(name: str) -> DataFrame:
-        return _promotions(spark) if name == "promotions" else _READERS[name](read)
-
-    return Star(star_table)
+    def placed(table: str, nation_key: str) -> DataFrame:
+        places = read("nation").join(read("region"), F.expr("n_regionkey = r_regionkey"))
+        return read(table).join(places, F.expr(f"{nation_key} = n_nationkey"))
+
+    def promotions() -> DataFrame:
+        return spark.sql(
+            "SELECT promo_id, promo_name, start_date, end_date, "
+            "CAST(discount_pct AS DECIMAL(4,2)) AS discount_pct "
+            f"FROM VALUES {PROMOTION_ROWS} "
+            "AS t(promo_id, promo_name, start_date, end_date, discount_pct)"
+        )
+
+    readers = {
+        "customers": lambda: placed("customer", "c_nationkey").selectExpr(*_CUSTOMERS),
+        "products": lambda: read("part").selectExpr(*_PRODUCTS),
+        "stores": lambda: placed("supplier", "s_nationkey").selectExpr(*_STORES),
+        "promotions": promotions,
+        "orders": lambda: read("orders").selectExpr(*_ORDERS),
+        "order_items": lambda: read("lineitem")
+        .selectExpr(*_LINE_CENTS)
+        .selectExpr(*_ORDER_ITEMS),
+    }
+    return Star(lambda name: readers[name]())
 
 
 def order_book_star(spark: SparkSession, sf_dir: str) -> Star:

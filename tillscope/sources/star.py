@@ -70,9 +70,13 @@ def read_star(spark: SparkSession, root: str) -> Star:
 
 def fill_defaults(df: DataFrame, table: str) -> DataFrame:
     """Put the declared default where a value is absent."""
+    spec = TABLES[table]
+    if not spec.defaults:
+        return df
+    kinds = dict(spec.columns)
     return df.withColumns(
         {
-            column: F.coalesce(F.col(column), F.expr(literal).cast(df.schema[column].dataType))
-            for column, literal in TABLES[table].defaults.items()
+            column: F.coalesce(F.col(column), F.expr(literal).cast(kinds[column]))
+            for column, literal in spec.defaults.items()
         }
     )
