@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.shop import rows
+from tillscope.functions import ordering
 from tillscope.functions.calendar import quarters_between
 from tillscope.functions.labels import first_match
 from tillscope.functions.numbers import in_cents, percent, rounded, rounded_ratio
@@ -51,7 +52,11 @@ def separate_partitions(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_positions_equal_row_number_with_a_hot_group_and_ties(spark, separate_partitions):
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_positions_equal_row_number_with_a_hot_group_and_ties(
+    spark, separate_partitions, monkeypatch, broadcast_rows
+):
+    monkeypatch.setattr(ordering, "_BROADCAST_ROWS", broadcast_rows)
     # group 0 holds most rows and half of all rows share one value
     df = spark.range(0, 5000, 1, 7).select(
         F.when(F.col("id") % 5 < 3, 0).otherwise(F.col("id") % 11).alias("g"),

@@ -10,6 +10,8 @@ from tillscope.plans.session import checkpointed
 # monotonically_increasing_id() keeps the partition number above bit 33 and the
 # row number within the partition below it.
 _ROW_BITS = 33
+#: rows of at most some 50 bytes each
+_BROADCAST_ROWS = 200_000
 
 
 def with_position(df: DataFrame, group: str, order_by: list[str]) -> DataFrame:
@@ -23,27 +25,31 @@ def with_position(df: DataFrame, group: str, order_by: list[str]) -> DataFrame:
     splits runs of equal values over partitions. ``group`` is not null.
 
     Range bounds are sampled, so a second evaluation could cut the partitions
-    elsewhere; the numbered rows are checkpointed before they are counted. What
-    is broadcast holds one row per partition and one per group border, whatever
-    the number of rows in ``df``; callers pass a group of few values.
+    elsewhere; the numbered rows are checkpointed before they are counted. The
+    counts hold one row per partition and per group, and are broadcast only
+    while they are few.
     """
     numbered = checkpointed(
         df.orderBy(group, *order_by).withColumn("_slot", F.monotonically_increasing_id())
     )
     placed = numbered.withColumn("_part", F.shiftright("_slot", _ROW_BITS))
-    runs = placed.groupBy("_part", group).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_slot").alias("_first")
+    runs = checkpointed(
+        placed.groupBy("_part", group).agg(
+            F.count(F.lit(1)).alias("_rows"), F.min("_slot").alias("_first")
+        )
     )
     in_group = Window.partitionBy(group)
     earlier = in_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(
+    shifts = runs.select(
         "_part",
         group,
         "_first",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(in_group).alias("group_size"),
     )
-    return placed.join(F.broadcast(runs), ["_part", group]).select(
+    if runs.count() <= _BROADCAST_ROWS:
+        shifts = F.broadcast(shifts)
+    return placed.join(shifts, ["_part", group]).select(
         *(F.col(c) for c in df.columns),
         (F.col("_before") + F.col("_slot") - F.col("_first") + 1).alias("position"),
         "group_size",
