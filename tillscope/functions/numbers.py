@@ -1,8 +1,8 @@
 """Numeric conventions shared by every report.
 
 Prices are DECIMAL with two places, so amounts are added up as whole cents in
-BIGINT: exact, a third of a DECIMAL sum's width in a shuffle, and an overflow
-raises. Reports publish amounts as DOUBLE. Ratios are taken in DOUBLE, give
+BIGINT: exact, narrower in a shuffle than the DECIMAL(31,2) of a sum, and an
+overflow raises. Reports publish amounts as DOUBLE. Ratios are taken in DOUBLE, give
 NULL for a zero divisor and are rounded last.
 """
 

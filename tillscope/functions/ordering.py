@@ -22,7 +22,7 @@ def with_position(df: DataFrame, group: str, order_by: list[str]) -> DataFrame:
     are range-partitioned and sorted on (group, order_by), numbered within
     their partition, and shifted by the number of rows of the same group in
     earlier partitions. ``order_by`` should end in a unique column; it then also
-    splits runs of equal values over partitions. ``group`` is not null.
+    splits runs of equal values over partitions.
 
     Range bounds are sampled, so a second evaluation could cut the partitions
     elsewhere; the numbered rows are checkpointed before they are counted. The
@@ -41,15 +41,18 @@ def with_position(df: DataFrame, group: str, order_by: list[str]) -> DataFrame:
     in_group = Window.partitionBy(group)
     earlier = in_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = runs.select(
-        "_part",
-        group,
+        F.col("_part").alias("_run_part"),
+        F.col(group).alias("_run_group"),
         "_first",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(in_group).alias("group_size"),
     )
     if runs.count() <= _BROADCAST_ROWS:
         shifts = F.broadcast(shifts)
-    return placed.join(shifts, ["_part", group]).select(
+    same_run = (F.col("_part") == F.col("_run_part")) & F.col(group).eqNullSafe(
+        F.col("_run_group")
+    )
+    return placed.join(shifts, same_run).select(
         *(F.col(c) for c in df.columns),
         (F.col("_before") + F.col("_slot") - F.col("_first") + 1).alias("position"),
         "group_size",

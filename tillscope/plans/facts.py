@@ -56,7 +56,7 @@ def sold_orders(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
 def materialise_order_facts(star: Star, path: str) -> Star:
     """Write the order-grain facts once and let later analyses read them.
 
-    Twelve of the sixteen analyses start from this table, so running several of them
+    Nine of the sixteen analyses start from this table, so running several of them
     over the same star shuffles the lines once instead of once per analysis.
     """
     _all_order_facts(star).write.mode("overwrite").parquet(path)
