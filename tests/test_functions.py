@@ -94,7 +94,7 @@ def test_median_rows(spark, size, middle):
     assert sorted(r[0] for r in rows(df)) == middle
 
 
-def test_settings_grow_with_the_input_up_to_what_a_driver_tracks(spark):
+def test_settings_grow_with_the_input_up_to_what_a_driver_tracks():
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     small, large = scale_settings(1 << 20, 8), scale_settings(100 << 40, 8000)
     middle = scale_settings(1 << 40, 64)
