@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from tillscope.sources.order_book import PROMOTION_ROWS
-
-STAR = f"""
+STAR = """
 star_customers AS (
     SELECT c_custkey AS customer_id,
            split_part(c_name, '#', 1) AS first_name,
@@ -43,9 +41,14 @@ star_stores AS (
     JOIN region ON n_regionkey = r_regionkey
 ),
 star_promotions AS (
-    SELECT promo_id, promo_name, start_date, end_date,
-           CAST(discount_pct AS DECIMAL(4,2)) AS discount_pct
-    FROM (VALUES {PROMOTION_ROWS}) AS t(promo_id, promo_name, start_date, end_date, discount_pct)
+    SELECT 'PR' || number AS promo_id,
+           'Sale ' || (number % 5 + 1) AS promo_name,
+           CAST(min(o_orderdate) AS DATE) AS start_date,
+           CAST(max(o_orderdate) AS DATE) AS end_date,
+           CAST(number * CAST(0.02 AS DECIMAL(3,2)) AS DECIMAL(4,2)) AS discount_pct
+    FROM (SELECT o_orderkey % 9 + 1 AS number, o_orderdate FROM orders WHERE o_orderkey % 4 = 0)
+    WHERE number <= 7
+    GROUP BY number
 ),
 star_orders AS (
     SELECT o_orderkey AS order_id,

@@ -11,19 +11,6 @@ from pyspark.sql import functions as F
 
 from tillscope.sources.star import Star, fill_defaults
 
-# The promotions of the test star. PR8 and PR9 occur in orders
-# but not here, and PR3 and PR6 share a name.
-PROMOTION_ROWS = """
-    ('PR1', 'Spring Sale',   DATE '1995-03-01', DATE '1995-03-14', 0.10),
-    ('PR2', 'Summer Sale',   DATE '1996-06-01', DATE '1996-06-30', 0.15),
-    ('PR3', 'Clearance',     DATE '1997-01-02', DATE '1997-01-09', 0.20),
-    ('PR4', 'Autumn Sale',   DATE '1998-09-01', DATE '1998-09-21', 0.10),
-    ('PR5', 'Winter Sale',   DATE '1999-12-01', DATE '1999-12-24', 0.15),
-    ('PR6', 'Clearance',     DATE '2000-01-02', DATE '2000-01-09', 0.20),
-    ('PR7', 'Loyalty Week',  DATE '2001-05-07', DATE '2001-05-13', 0.05)
-"""
-
-
 # The columns of the source tables.
 SOURCE_SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
@@ -107,6 +94,19 @@ _ORDER_ITEMS = (
 )
 
 
+# A promotion runs from its first order to its last. Orders name nine of them;
+# the last two have no row here, so that references dangle. Some share a name.
+_PROMOTED_ORDERS = ("o_orderkey % 9 + 1 AS number", "CAST(o_orderdate AS DATE) AS day")
+
+_PROMOTIONS = (
+    "concat('PR', number) AS promo_id",
+    "concat('Sale ', number % 5 + 1) AS promo_name",
+    "start_date",
+    "end_date",
+    "CAST(number * 0.02 AS DECIMAL(4,2)) AS discount_pct",
+)
+
+
 def raw_star(spark: SparkSession, sf_dir: str) -> Star:
     def read(table: str) -> DataFrame:
         return spark.read.schema(SOURCE_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
@@ -116,11 +116,14 @@ def raw_star(spark: SparkSession, sf_dir: str) -> Star:
         return read(table).join(places, F.expr(f"{nation_key} = n_nationkey"))
 
     def promotions() -> DataFrame:
-        return spark.sql(
-            "SELECT promo_id, promo_name, start_date, end_date, "
-            "CAST(discount_pct AS DECIMAL(4,2)) AS discount_pct "
-            f"FROM VALUES {PROMOTION_ROWS} "
-            "AS t(promo_id, promo_name, start_date, end_date, discount_pct)"
+        return (
+            read("orders")
+            .filter("o_orderkey % 4 = 0")
+            .selectExpr(*_PROMOTED_ORDERS)
+            .filter("number <= 7")
+            .groupBy("number")
+            .agg(F.min("day").alias("start_date"), F.max("day").alias("end_date"))
+            .selectExpr(*_PROMOTIONS)
         )
 
     readers = {
