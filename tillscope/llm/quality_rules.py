@@ -52,7 +52,7 @@ RULES = (
     Rule("symbols_per_word", "n_symbols / greatest(n_words, 1)", most=0.1),
     Rule("stop_words", "n_stop_words / greatest(n_words, 1)", least=0.02),
     Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", most=0.5),
-    Rule("capital_letters", "n_capitals / greatest(n_letters, 1)", most=0.5),
+    Rule("capital_letters", "n_capitals / greatest(word_chars, 1)", most=0.5),
 )
 #: rules every caller gets, whatever table is passed
 BASE_RULES = ("words", "repeated_words")
@@ -67,8 +67,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
     n_words, word_chars (code points in words), n_symbols, n_lines (lines with a
     word), n_dup_lines (such lines equal to an earlier one), n_repeat_words (words in
-    3-word windows found twice or more in the text), n_stop_words, n_letters (A-Z,
-    a-z) and n_capitals. A null text counts as an empty one: all are 0. A caller's
+    3-word windows found twice or more in the text), n_stop_words and
+    n_capitals (A-Z). A null text counts as an empty one: all are 0. A caller's
     column of one of these names is replaced; other columns pass through.
     Windows are compared by 64-bit hash.
     """
@@ -81,10 +81,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             f"{name}w": F.regexp_extract_all(t, F.lit(WORD), F.lit(0)),
             f"{name}l": F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)),
             "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("bigint"),
-            "n_letters": F.regexp_count(t, F.lit("[A-Za-z]")).cast("bigint"),
-            "n_capitals": F.regexp_count(t, F.lit("[A-Z]")).cast("bigint"),
-            "word_chars": F.length(
-                F.regexp_replace(t, F.lit(r"[\x20\x09-\x0D]+"), F.lit(""))
+            "n_capitals": (
+                F.length(t) - F.length(F.regexp_replace(t, F.lit("[A-Z]+"), F.lit("")))
             ).cast("bigint"),
         }
     ).drop(f"{name}t")
@@ -93,6 +91,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumns(
         {
             "n_words": F.size(w).cast("bigint"),
+            "word_chars": F.length(F.array_join(w, "")).cast("bigint"),
             "n_lines": F.size(lines).cast("bigint"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
             "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(stops))).cast("bigint"),

@@ -39,7 +39,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept",
         "n_lines",
         "n_stop_words",
-        "n_letters",
         "n_capitals",
     )
 
