@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillscope.llm.mixing import mixed_counts
 from tillscope.llm.perspective import perspective_rotation
 from tillscope.llm.quality_rules import quality_rules
+from tillscope.llm.queries_sql import SQL as SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
