@@ -8,19 +8,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tillscope.llm.mixing import mix_sources
 from tillscope.llm.quality_rules import quality_rules
+from tillscope.llm.queries import toxicity_model
 from tillscope.llm.store import written
+from tillscope.llm.toxicity import score_toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the classifier calls toxic."""
+    model = toxicity_model(spark, docs, sf_dir)
+    scored = score_toxicity(docs, model)
+    return scored.where("predicted = 0").select(*(f"`{c}`" for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what a quality rule rejects."""
-    judged = quality_rules(docs.withColumn("__row", F.struct(*(f"`{c}`" for c in docs.columns))))
-    return judged.where("kept").select("__row.*")
+    return quality_rules(docs).where("kept").select(*(f"`{c}`" for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
     ("quality_rules", quality),
     ("mixing", mixing),
 ]

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillscope.llm.mixing import mixed_counts
 from tillscope.llm.perspective import perspective_rotation
 from tillscope.llm.quality_rules import quality_rules
 from tillscope.llm.queries_sql import SQL as SQL
+from tillscope.llm.sampling import in_fold
+from tillscope.llm.toxicity import Model, fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +23,21 @@ def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspective_rotation(_table(spark, sf_dir, "conversations"))
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
+    """Learned from labelled documents outside the held-out fifth."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    known = docs.where(~in_fold("doc_id", 5, 0)).select("doc_id", "text")
+    return fit_toxicity(known.join(labels, "doc_id"))
+
+
+def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(spark, docs, sf_dir)
+    folded = docs.withColumn("held_out", in_fold("doc_id", 5, 0))
+    scored = score_toxicity(folded, model, keep_text=False)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixed_counts(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.selectExpr(
@@ -46,6 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_perspective_rotation": op3_perspective_rotation,
+    "op6_subword_toxicity": op6_subword_toxicity,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
