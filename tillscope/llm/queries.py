@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from tillscope.llm.perspective import perspective_rotation
 from tillscope.llm.quality_rules import quality_rules
 from tillscope.llm.queries_sql import SQL as SQL
 from tillscope.llm.sampling import in_fold
+from tillscope.llm.store import scratch_path
+from tillscope.llm.token_store import read_token_store, write_token_store
 from tillscope.llm.toxicity import Model, fit_toxicity, score_toxicity
 
 
@@ -19,6 +22,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    return public_tokenizers.path(name)
+
+
+def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(docs, "token-store")
+    write_token_store(docs, path, _vocabulary("byte_bpe_50k.json"), "bytes", end_id=2)
+    return read_token_store(spark.read.parquet(path))
+
+
 def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspective_rotation(_table(spark, sf_dir, "conversations"))
 
@@ -63,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rans_tokens": op1_rans_tokens,
     "op3_perspective_rotation": op3_perspective_rotation,
     "op6_subword_toxicity": op6_subword_toxicity,
     "op9_mix_sources": op9_mix_sources,
