@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.llm.mixing import mixed_counts
+from tillscope.llm.packing import Capacity, best_fit_pack, token_pieces
 from tillscope.llm.perspective import perspective_rotation
 from tillscope.llm.quality_rules import quality_rules
 from tillscope.llm.queries_sql import SQL as SQL
@@ -37,6 +38,18 @@ def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspective_rotation(_table(spark, sf_dir, "conversations"))
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Documents as pieces of 2048 tokens at most, packed into sequences of 2048."""
+    capacity = Capacity()
+    path = _vocabulary("word_bpe_49k.json")
+    pieces = token_pieces(docs, path, "words", end_id=0, most=capacity.tokens)
+    return best_fit_pack(pieces, capacity)
+
+
+def op4_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     """Learned from labelled documents outside the held-out fifth."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -79,6 +92,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans_tokens": op1_rans_tokens,
     "op3_perspective_rotation": op3_perspective_rotation,
+    "op4_vector_best_fit": op4_vector_best_fit,
     "op6_subword_toxicity": op6_subword_toxicity,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
