@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.llm.language import fit_languages, identify_languages
 from tillscope.llm.mixing import mixed_counts
 from tillscope.llm.packing import Capacity, best_fit_pack, token_pieces
 from tillscope.llm.perspective import perspective_rotation
@@ -34,6 +35,15 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_store(spark.read.parquet(path))
 
 
+def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(
+        docs.where(~in_fold("doc_id", 3, 1)).select("text", docs["lang"].alias("label"))
+    )
+    folded = docs.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "text")
+    return identify_languages(folded, model)
+
+
 def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspective_rotation(_table(spark, sf_dir, "conversations"))
 
@@ -91,6 +101,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans_tokens": op1_rans_tokens,
+    "op2_cross_parsing": op2_cross_parsing,
     "op3_perspective_rotation": op3_perspective_rotation,
     "op4_vector_best_fit": op4_vector_best_fit,
     "op6_subword_toxicity": op6_subword_toxicity,
