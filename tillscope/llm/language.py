@@ -187,9 +187,9 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
 
 
 def fit_languages(labelled: DataFrame, settings: Settings | None = None) -> Model:
-    """Learn from a bounded, hash-chosen sample of ``labelled`` (columns label and text)."""
+    """Learn from a bounded, hash-chosen sample of ``labelled`` (doc_id, text, label)."""
     settings = settings or Settings()
-    sample = labelled_sample(labelled, settings.texts, settings.longest_text)
+    sample = labelled_sample(labelled, None, settings.texts, settings.longest_text)
     samples: dict[str, list[str]] = {}
     held: dict[str, int] = {}
     for row in sample.orderBy("label", "rank").toLocalIterator():

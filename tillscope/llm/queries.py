@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.llm.jaccard import ngram_jaccard
 from tillscope.llm.language import fit_languages, identify_languages
 from tillscope.llm.mixing import mixed_counts
 from tillscope.llm.packing import Capacity, best_fit_pack, token_pieces
@@ -38,7 +39,7 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_languages(
-        docs.where(~in_fold("doc_id", 3, 1)).select("text", docs["lang"].alias("label"))
+        docs.where(~in_fold("doc_id", 3, 1)).select("doc_id", "text", docs["lang"].alias("label"))
     )
     folded = docs.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "text")
     return identify_languages(folded, model)
@@ -64,7 +65,7 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     """Learned from labelled documents outside the held-out fifth."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     known = docs.where(~in_fold("doc_id", 5, 0)).select("doc_id", "text")
-    return fit_toxicity(known.join(labels, "doc_id"))
+    return fit_toxicity(known, labels)
 
 
 def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,10 @@ def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(_table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixed_counts(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.selectExpr(
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_perspective_rotation": op3_perspective_rotation,
     "op4_vector_best_fit": op4_vector_best_fit,
     "op6_subword_toxicity": op6_subword_toxicity,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -304,11 +304,12 @@ def _pieces(texts: list, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def fit_toxicity(labelled: DataFrame, settings: Settings | None = None) -> Model:
-    """Fit on a bounded, hash-chosen sample of ``labelled`` (columns label 0/1 and text)."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
+    """Fit on a bounded, hash-chosen sample of ``docs`` (doc_id, text) that ``labels``
+    (doc_id, label) calls 0 or 1; other labels are ignored."""
     settings = settings or Settings()
-    known = labelled.where(F.col("label").isin(0, 1))
-    sample = labelled_sample(known, settings.per_label, settings.longest_text)
+    known = labels.where(F.col("label").isin(0, 1))
+    sample = labelled_sample(docs, known, settings.per_label, settings.longest_text)
     rows = sample.orderBy("label", "rank").collect()  # at most 2 * per_label texts
     return train([r["text"] for r in rows], [int(r["label"]) for r in rows], settings)
 
