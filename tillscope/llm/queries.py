@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.llm.itq import itq_near_duplicates
 from tillscope.llm.jaccard import ngram_jaccard
 from tillscope.llm.language import fit_languages, identify_languages
 from tillscope.llm.mixing import mixed_counts
@@ -80,6 +81,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
+def op8_itq_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixed_counts(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.selectExpr(
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_vector_best_fit": op4_vector_best_fit,
     "op6_subword_toxicity": op6_subword_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_itq_near_dups": op8_itq_near_dups,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
