@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tillscope.llm.itq import itq_near_duplicates
 from tillscope.llm.jaccard import ngram_jaccard
 from tillscope.llm.language import fit_languages, identify_languages
+from tillscope.llm.licences import fit_licences, licence_scan
 from tillscope.llm.mixing import mixed_counts
 from tillscope.llm.packing import Capacity, best_fit_pack, token_pieces
 from tillscope.llm.perspective import perspective_rotation
@@ -62,6 +63,11 @@ def op4_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licence_scan(docs, fit_licences(docs))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     """Learned from labelled documents outside the held-out fifth."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cross_parsing": op2_cross_parsing,
     "op3_perspective_rotation": op3_perspective_rotation,
     "op4_vector_best_fit": op4_vector_best_fit,
+    "op5_licence_classifier": op5_licence_classifier,
     "op6_subword_toxicity": op6_subword_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_itq_near_dups": op8_itq_near_dups,
