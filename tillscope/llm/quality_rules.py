@@ -160,7 +160,10 @@ def quality_rules(
     verdict = F.lit(True)
     for rule in rules:
         verdict = verdict & rule.holds()
-    # always true, but not a constant to the optimizer: without it a filter on ``kept`` is
-    # pushed below the counts, where each use of a count would count the text again
-    once = F.when(F.rand(0) >= 0, base & verdict)
-    return counted.withColumns({"base_failed": ~base, "kept": once})
+    judged = counted.withColumns({"base_failed": ~base, f"{_P}k": base & verdict})
+    # without this step a filter on ``kept`` is pushed below the counts, where each use of a
+    # count would count the text again
+    others = [c for c in judged.columns if c not in ("kept", f"{_P}k")]
+    return judged.select(
+        *(F.col(f"`{c}`") for c in others), F.explode(F.array(f"{_P}k")).alias("kept")
+    )
