@@ -39,6 +39,8 @@ _LOW_BOUND = int(LOW * (1 << 64)) - (1 << 63)
 _ROWS = 1 << 20
 _SALTS = 64
 _LEADER_ROUNDS = 2
+#: longs of a set's bitmap, see _bitmap
+_BITMAP = 8
 
 _SIGNATURE = "doc_id bigint, n_shingles bigint, node bigint"
 _POSTING = "shingle bigint, salt int, node bigint, sizes bigint"
@@ -172,8 +174,18 @@ def _similar_sizes(percent: int) -> Column:
     return F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
 
 
+def _bitmap(own: np.ndarray) -> np.ndarray:
+    """The parity of how many of a set's shingles fall on each of 64 * _BITMAP places.
+
+    Two bitmaps differ in at most as many places as their sets differ in shingles.
+    """
+    places = own.view(np.uint64) >> np.uint64(7)
+    counts = np.bincount((places % np.uint64(64 * _BITMAP)).astype(np.int64), minlength=64 * _BITMAP)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and hashes, the whole set, of the documents in ``wanted`` (doc_id, node)."""
+    """node, hashes (the whole set) and bits of the documents in ``wanted`` (doc_id, node)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,12 +200,13 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [
                         pa.array([node for node, _ in found], pa.int64()),
                         pa.array([own for _, own in found], pa.list_(pa.int64())),
+                        pa.array([_bitmap(own) for _, own in found], pa.list_(pa.int64())),
                     ],
-                    names=["node", "hashes"],
+                    names=["node", "hashes", "bits"],
                 )
 
     texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text")
-    return texts.mapInArrow(emit, "node bigint, hashes array<bigint>")
+    return texts.mapInArrow(emit, "node bigint, hashes array<bigint>, bits array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,22 +253,32 @@ def _mixed_blocks(rows: DataFrame) -> DataFrame:
         ).withColumnRenamed("component", "major"), "shingle")
 
 
-def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that the counts do not rule out: u, v."""
+def _cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that counts and bitmaps do not rule out: u, v.
+
+    Bitmaps bound the overlap from above while a block is multiplied, so sets that share
+    only a common line or passage are dropped before they become rows.
+    """
+    maps = [F.col("bits")[k].alias(f"b{k}") for k in range(_BITMAP)]
+    rows = rows.join(sets.select("node", *maps).dropDuplicates(["node"]), "node")
     other = rows.select(
         "shingle",
         F.col("node").alias("v"),
         F.col("n").alias("n2"),
         F.col("p").alias("p2"),
         F.col("component").alias("component2"),
+        *(F.col(f"b{k}").alias(f"c{k}") for k in range(_BITMAP)),
     )
+    apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in range(_BITMAP)), F.lit(0))
+    needed = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
     minor = rows.where("component <> major")
     met = minor.join(
         other,
         (minor["shingle"] == other["shingle"])
         & (minor["component"] != other["component2"])
         & ((other["component2"] == minor["major"]) | (minor["node"] < other["v"]))
-        & _similar_sizes(percent),
+        & _similar_sizes(percent)
+        & (F.col("n") + F.col("n2") - apart >= 2 * needed),
     )
     counted = met.groupBy("node", "n", "p", "v", "n2", "p2").agg(F.count("*").alias("common"))
     return counted.where(_reachable(percent)).select(F.col("node").alias("u"), "v")
@@ -309,7 +332,7 @@ def ngram_jaccard(
         found = found if links is None else links.union(found)
         links = written(found, "jaccard-links")
         rows = written(_mixed_blocks(_labelled(index, links)), "jaccard-rows")
-    last = _verified(_cross_pairs(rows, percent), sets, percent)
+    last = _verified(_cross_pairs(rows, sets, percent), sets, percent)
     joined = components(links.union(last))
     labels = joined.join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("label"))
     known = nodes.join(joined.join(labels, "component").select("node", "label"), "node", "left")
