@@ -280,8 +280,18 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         & _similar_sizes(percent)
         & (F.col("n") + F.col("n2") - apart >= 2 * needed),
     )
-    counted = met.groupBy("node", "n", "p", "v", "n2", "p2").agg(F.count("*").alias("common"))
-    return counted.where(_reachable(percent)).select(F.col("node").alias("u"), "v")
+    # a pair meets in either order, as the largest component differs by block
+    return (
+        met.groupBy(
+            F.least("node", "v").alias("u"),
+            F.greatest("node", "v").alias("w"),
+            (F.col("n") + F.col("n2")).alias("both"),
+            F.greatest(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")).alias("rest"),
+        )
+        .agg(F.count("*").alias("common"))
+        .where(F.col("common") + F.col("rest") >= F.ceil(F.col("both") * percent / (100 + percent)))
+        .select("u", F.col("w").alias("v"))
+    )
 
 
 def _labelled(index: DataFrame, links: DataFrame) -> DataFrame:
