@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from oracle.star_sql import over_star
 
+# Keys, references, rules and columns as the tables declare them.
 KEYS = {
     "customers": ("customer_id",),
     "products": ("product_id",),
@@ -49,6 +50,8 @@ COLUMNS = {
     "order_items": "order_id, line_item, product_id, quantity, unit_price, discount_pct, "
     "final_unit_price",
 }
+#: tables with a column that has a default: nulls are counted before it is filled
+DEFAULTED = ("products", "order_items")
 OPTIONAL = {"orders": {"store_id", "promo_id"}}
 
 
@@ -56,6 +59,11 @@ def _all(selects) -> str:
     return over_star("\n" + "\nUNION ALL\n".join(selects))
 
 
+def _key_text(key: tuple[str, ...]) -> str:
+    parts = ", ".join(f"CAST({c} AS VARCHAR)" for c in key)
+    return f"CAST(to_json([{parts}]) AS VARCHAR)"
+
+
 def _copies(table: str) -> str:
     key = ", ".join(KEYS[table])
     return f"(SELECT {key}, count(*) AS copies FROM star_{table} GROUP BY {key} HAVING count(*) > 1)"
@@ -88,6 +96,11 @@ CHECKS: dict[str, str] = {
         f"FROM star_{t}"
         for at, t in enumerate(KEYS, start=1)
     ),
+    "w17b_load_values": _all(
+        f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST(0 AS BIGINT) AS rows_lost, "
+        f"CAST(0 AS BIGINT) AS rows_gained FROM star_{t}"
+        for t in KEYS
+    ),
     "w18_primary_key_check": _all(
         f"SELECT '{t}' AS table_name, '{', '.join(key)}' AS key_columns, "
         "count(*) AS duplicate_keys, CAST(COALESCE(sum(copies - 1), 0) AS BIGINT) AS surplus_rows "
@@ -95,7 +108,7 @@ CHECKS: dict[str, str] = {
         for t, key in KEYS.items()
     ),
     "w18b_duplicate_keys": _all(
-        f"SELECT '{t}' AS table_name, concat_ws('|', {', '.join(key)}) AS key, copies "
+        f"SELECT '{t}' AS table_name, {_key_text(key)} AS key, copies "
         f"FROM {_copies(t)}"
         for t, key in KEYS.items()
     ),
@@ -118,7 +131,7 @@ CHECKS: dict[str, str] = {
     ),
     "w21_not_null_check": _all(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS null_rows "
-        f"FROM star_{t}"
+        f"FROM {'raw' if t in DEFAULTED else 'star'}_{t}"
         for t, columns in COLUMNS.items()
         for c in columns.split(", ")
         if c not in OPTIONAL.get(t, ())
@@ -126,7 +139,7 @@ CHECKS: dict[str, str] = {
     "w22_default_fill": _all(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{default}' AS default_value, "
         f"count(*) AS row_count, count(*) - count({c}) AS absent_before, "
-        "CAST(0 AS BIGINT) AS absent_after, "
+        f"count(*) - count(COALESCE({c}, {default})) AS absent_after, "
         f"count(*) FILTER (COALESCE({c}, {default}) = {default}) AS rows_at_default FROM raw_{t}"
         for t, c, default in (("products", "is_active", "TRUE"), ("order_items", "discount_pct", "0"))
     ),

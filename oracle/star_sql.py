@@ -12,8 +12,8 @@ star_customers AS (
            CAST(DATE '1990-01-01' + CAST(c_custkey % 1826 AS INTEGER) AS DATE) AS signup_date,
            c_mktsegment AS customer_segment
     FROM customer
-    JOIN nation ON c_nationkey = n_nationkey
-    JOIN region ON n_regionkey = r_regionkey
+    LEFT JOIN nation ON c_nationkey = n_nationkey
+    LEFT JOIN region ON n_regionkey = r_regionkey
 ),
 raw_products AS (
     SELECT p_partkey AS product_id,
@@ -37,8 +37,8 @@ star_stores AS (
            CAST(DATE '1990-01-01' + CAST(s_suppkey % 1826 AS INTEGER) AS DATE) AS opened_date,
            CAST(200 + 100 * (s_suppkey % 11) AS INTEGER) AS store_size_sqm
     FROM supplier
-    JOIN nation ON s_nationkey = n_nationkey
-    JOIN region ON n_regionkey = r_regionkey
+    LEFT JOIN nation ON s_nationkey = n_nationkey
+    LEFT JOIN region ON n_regionkey = r_regionkey
 ),
 star_promotions AS (
     SELECT 'PR' || number AS promo_id,

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from tests.shop import cash, customer, day, frame, line, order, product, promotion, rows, shop
 from tillscope.operators import profile, quality
 from tillscope.plans import session
-from tillscope.sources.load import load_report, read_csv_table
+from tillscope.sources.load import (
+    load_differences,
+    load_report,
+    load_tables,
+    read_csv_table,
+    write_csv_tables,
+)
 from tillscope.sources.schema import TABLES
 from tillscope.sources.star import Star, read_star
 
@@ -44,15 +50,54 @@ def test_load_types_nulls_and_defaults(spark, csv_root, tmp_path):
     assert [f.dataType for f in star.products.schema] == [k for _, k in TABLES["products"].columns]
     assert sorted(rows(star.products, "product_name", "unit_price", "is_active")) == [
         ("Mug", Decimal("3.00"), False),
-        ("Pot", Decimal("9.00"), True),  # default
+        ("Pot", Decimal("9.00"), None),  # an empty cell is not filled
         ("Tea, black", Decimal("2.35"), True),  # third decimal rounded half up
     ]
     assert sorted(rows(star.orders, "order_id", "store_id")) == [("O1", None), ("O2", "S1")]
     assert sorted(rows(star.order_items, "order_id", "discount_pct")) == [
-        ("O1", Decimal("0.00")), ("O2", Decimal("0.10")),
+        ("O1", None), ("O2", Decimal("0.10")),
     ]
 
 
+def test_load_fills_defaults_when_asked_and_where_the_column_is_left_out(spark, tmp_path):
+    path = tmp_path / "products.csv"
+    path.write_text(CSV["products"])
+    filled = read_csv_table(spark, str(path), "products", fill_nulls=True)
+    assert sorted(rows(filled, "product_id", "is_active")) == [
+        ("P1", True), ("P2", False), ("P3", True),
+    ]
+    path.write_text("\n".join(x.rpartition(",")[0] for x in CSV["products"].splitlines()))
+    assert rows(read_csv_table(spark, str(path), "products"), "is_active") == [(True,)] * 3
+
+
+ODD = ['Ann "Annie"', "ends in \\", " spaced ", "a,b", '"', "back\\slash\"quote"]
+
+
+def test_odd_texts_survive_the_csv_both_ways(spark, csv_root, tmp_path):
+    path = tmp_path / "customers.csv"
+    cells = (x.replace('"', '""') for x in ODD)
+    lines = [f'{i},"{x}",Lee,NSW,Town,2022-01-05,Regular' for i, x in enumerate(cells)]
+    path.write_text("\n".join([CSV["customers"].splitlines()[0], *lines]))
+    star = load_tables(spark, csv_root, str(tmp_path / "tables"))
+    assert [x for _, x in sorted(rows(star.customers, "customer_id", "first_name"))] == ODD
+    write_csv_tables(star, str(tmp_path / "again"))
+    again = load_tables(spark, str(tmp_path / "again"), str(tmp_path / "tables2"))
+    found = {r[0]: r[1:] for r in rows(load_differences(star, again))}
+    assert found["customers"] == (len(ODD), 0, 0)
+    assert all(lost == gained == 0 for _, lost, gained in found.values())
+    path.write_text(path.read_text().replace("Annie", "Anna"))
+    changed = load_tables(spark, csv_root, str(tmp_path / "tables3"))
+    found = {r[0]: r[1:] for r in rows(load_differences(star, changed))}
+    assert found["customers"] == (len(ODD), 1, 1)
+
+
+def test_a_quoted_line_break_needs_multi_line(spark, tmp_path):
+    path = tmp_path / "stores.csv"
+    path.write_text(CSV["stores"].replace("Main", '"Main\nhall"'))
+    found = read_csv_table(spark, str(path), "stores", multi_line=True)
+    assert rows(found, "store_name") == [("Main\nhall",)]
+
+
 def test_load_replaces_what_was_there(spark, csv_root, tmp_path):
     for _ in range(2):
         counts = load_report(spark, csv_root, str(tmp_path / "tables")).collect()
@@ -91,7 +136,7 @@ def dirty(spark):
 
 def test_duplicate_keys(dirty):
     assert sorted(rows(quality.all_duplicate_keys(dirty))) == [
-        ("order_items", "1|1", 2), ("orders", "1", 2),
+        ("order_items", '["1","1"]', 2), ("orders", '["1"]', 2),
     ]
     counts = {r.table_name: (r.duplicate_keys, r.surplus_rows)
               for r in quality.primary_key_check(dirty).collect()}

@@ -30,11 +30,11 @@ def duplicate_keys(star: Star, table: str) -> DataFrame:
 
 
 def all_duplicate_keys(star: Star) -> DataFrame:
-    """Duplicate keys of every table, the key columns joined as text."""
+    """Duplicate keys of every table, the key columns as a JSON list of texts."""
     return _union(
         duplicate_keys(star, name).select(
             F.lit(name).alias("table_name"),
-            F.concat_ws("|", *(F.col(c).cast("string") for c in spec.key)).alias("key"),
+            F.to_json(F.array(*(F.col(c).cast("string") for c in spec.key))).alias("key"),
             "copies",
         )
         for name, spec in TABLES.items()
@@ -137,7 +137,10 @@ def value_check(star: Star) -> DataFrame:
 
 
 def not_null_check(star: Star) -> DataFrame:
-    """Nulls per required column; every table is scanned once."""
+    """Nulls per required column; every table is scanned once.
+
+    Columns with a default are only worth checking before ``fill_defaults``.
+    """
     return _union(
         _tall(
             star.table(name).agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,21 +12,37 @@ from tillscope.operators.profile import row_counts
 from tillscope.sources.schema import TABLES
 from tillscope.sources.star import Star, fill_defaults, read_star
 
+# a quote inside a quoted cell is written twice; a backslash is a plain character
+_QUOTING = {"quote": '"', "escape": '"'}
+_DATES = "yyyy-MM-dd"
+
 
-def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+def read_csv_table(
+    spark: SparkSession,
+    path: str,
+    table: str,
+    multi_line: bool = False,
+    fill_nulls: bool = False,
+) -> DataFrame:
     """Read one CSV with its declared types; nothing is inferred.
 
-    Columns are taken by position and the header has to name them in the
-    declared order. A cell that does not fit its type fails the read. Decimals
-    of excess scale are rounded half up. Booleans may be written 1/0 or
-    true/false: the CSV reader would turn 1/0 into NULL, so they are read as
-    text and cast.
+    The header has to name the columns in the declared order; one with a declared
+    default may be left out and then holds the default. An empty cell stays NULL, as
+    ``not_null_check`` reports it, unless ``fill_nulls`` asks for defaults there too.
+    A cell that does not fit its type fails the read. Decimals of excess scale are
+    rounded half up. Booleans may be written 1/0 or true/false: the CSV reader would
+    turn 1/0 into NULL, so they are read as text and cast.
+
+    ``multi_line`` lets quoted cells hold line breaks. A file is then read by one
+    task, so it is off unless asked for.
     """
-    declared = TABLES[table].struct
+    spec = TABLES[table]
+    names = spark.read.csv(path, header=True, multiLine=multi_line, **_QUOTING).columns
+    present = [f for f in spec.struct if f.name in names or f.name not in spec.defaults]
     on_file = T.StructType(
         [
             T.StructField(f.name, T.StringType() if f.dataType == T.BooleanType() else f.dataType)
-            for f in declared
+            for f in present
         ]
     )
     raw = spark.read.csv(
@@ -33,20 +51,36 @@ def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
         header=True,
         enforceSchema=False,
         mode="FAILFAST",
-        dateFormat="yyyy-MM-dd",
+        dateFormat=_DATES,
+        multiLine=multi_line,
+        **_QUOTING,
     )
-    typed = raw.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in declared))
-    return fill_defaults(typed, table)
+    given = {f.name for f in present}
+    typed = raw.select(
+        *(
+            (F.col(f.name) if f.name in given else F.expr(spec.defaults[f.name]))
+            .cast(f.dataType)
+            .alias(f.name)
+            for f in spec.struct
+        )
+    )
+    return fill_defaults(typed, table) if fill_nulls else typed
 
 
-def load_tables(spark: SparkSession, csv_root: str, root: str) -> Star:
+def load_tables(
+    spark: SparkSession,
+    csv_root: str,
+    root: str,
+    multi_line: bool = False,
+    fill_nulls: bool = False,
+) -> Star:
     """Rebuild every table under ``root`` from ``csv_root/<table>.csv``.
 
     The key checks are jobs of their own (``tillscope.operators.quality``), so
     the order of the writes does not matter to Spark; parents still come first.
     """
     for table in TABLES:
-        frame = read_csv_table(spark, f"{csv_root}/{table}.csv", table)
+        frame = read_csv_table(spark, f"{csv_root}/{table}.csv", table, multi_line, fill_nulls)
         frame.write.mode("overwrite").parquet(f"{root}/{table}")
     return read_star(spark, root)
 
@@ -56,10 +90,45 @@ def write_csv_tables(star: Star, csv_root: str) -> None:
     for table, spec in TABLES.items():
         frame = star.table(table).select(*(name for name, _ in spec.columns))
         frame.write.mode("overwrite").csv(
-            f"{csv_root}/{table}.csv", header=True, dateFormat="yyyy-MM-dd"
+            f"{csv_root}/{table}.csv",
+            header=True,
+            dateFormat=_DATES,
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+            **_QUOTING,
         )
 
 
 def load_report(spark: SparkSession, csv_root: str, root: str) -> DataFrame:
     """Load everything and report the rows per table, in load order."""
     return row_counts(load_tables(spark, csv_root, root))
+
+
+def load_differences(before: Star, after: Star) -> DataFrame:
+    """Per table: rows of ``after``, rows that only ``before`` has, rows that only ``after`` has.
+
+    Whole rows are compared by value with their number of copies, in one shuffle a table.
+    """
+
+    def compared(table: str) -> DataFrame:
+        kinds = TABLES[table].columns
+        sides = [
+            star.table(table).select(
+                *(F.col(name).cast(kind).alias(name) for name, kind in kinds),
+                F.lit(was).alias("_was"),
+                F.lit(now).alias("_now"),
+            )
+            for star, was, now in ((before, 1, 0), (after, 0, 1))
+        ]
+        rows = sides[0].unionByName(sides[1])
+        counted = rows.groupBy(*(name for name, _ in kinds)).agg(
+            F.sum("_was").alias("was"), F.sum("_now").alias("now")
+        )
+        surplus = F.col("was") - F.col("now")
+        return counted.agg(
+            F.coalesce(F.sum("now"), F.lit(0)).alias("row_count"),
+            F.coalesce(F.sum(F.greatest(surplus, F.lit(0))), F.lit(0)).alias("rows_lost"),
+            F.coalesce(F.sum(F.greatest(-surplus, F.lit(0))), F.lit(0)).alias("rows_gained"),
+        ).select(F.lit(table).alias("table_name"), "row_count", "rows_lost", "rows_gained")
+
+    return reduce(DataFrame.unionByName, map(compared, TABLES))

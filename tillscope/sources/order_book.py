@@ -112,8 +112,8 @@ def raw_star(spark: SparkSession, sf_dir: str) -> Star:
         return spark.read.schema(SOURCE_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
     def placed(table: str, nation_key: str) -> DataFrame:
-        places = read("nation").join(read("region"), F.expr("n_regionkey = r_regionkey"))
-        return read(table).join(places, F.expr(f"{nation_key} = n_nationkey"))
+        places = read("nation").join(read("region"), F.expr("n_regionkey = r_regionkey"), "left")
+        return read(table).join(places, F.expr(f"{nation_key} = n_nationkey"), "left")
 
     def promotions() -> DataFrame:
         return (
