@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.llm.hard_negatives import hard_negatives
 from tillscope.llm.itq import itq_near_duplicates
 from tillscope.llm.jaccard import ngram_jaccard
 from tillscope.llm.language import fit_languages, identify_languages
@@ -18,9 +19,11 @@ from tillscope.llm.perspective import perspective_rotation
 from tillscope.llm.quality_rules import quality_rules
 from tillscope.llm.queries_sql import SQL as SQL
 from tillscope.llm.sampling import in_fold
+from tillscope.llm.secrets import secret_scan
 from tillscope.llm.store import scratch_path
 from tillscope.llm.token_store import read_token_store, write_token_store
 from tillscope.llm.toxicity import Model, fit_toxicity, score_toxicity
+from tillscope.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +118,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is an owner, a document its repository; equal texts are one repository."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", "source", F.md5("text").alias("repository"))
+    return secret_scan(rows, owner="source", repository="repository")
+
+
+def op13_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 move on by one; ids divisible by 50 are anchors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives(vectors, "vec_id % 50 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans_tokens": op1_rans_tokens,
     "op2_cross_parsing": op2_cross_parsing,
@@ -126,4 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_itq_near_dups": op8_itq_near_dups,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
+    "op11_polarised_whitening": op11_polarised_whitening,
+    "op12_owned_secrets": op12_owned_secrets,
+    "op13_residue_negatives": op13_residue_negatives,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillscope.llm import hard_negatives, secrets
 from tillscope.llm.mixing import MOST_REPEATS, SHARE_PERCENT, WEIGHTS
 from tillscope.llm.quality_rules import BASE_RULES, RULES, STOP_WORDS, Rule
 
@@ -136,8 +137,112 @@ counted AS (
 )
 SELECT *, NOT ({_BASE}) AS base_failed, ({_ALL}) AS kept FROM counted"""
 
+_NAMES = ", ".join(f"'{kind.name}'" for kind in secrets.KINDS)
+
+
+def _finds(number: int, kind: secrets.Kind) -> str:
+    pattern = kind.pattern.replace("'", "''")
+    return f"""
+    SELECT row_id, owner, repository, {number} AS kind, unnest(range(1, len(whole) + 1)) AS place,
+           unnest(gaps[:len(whole)]) AS gap, unnest(whole) AS found, unnest(part) AS value,
+           {kind.least} AS least
+    FROM (SELECT row_id, owner, repository, string_split_regex(t, '{pattern}') AS gaps,
+                 regexp_extract_all(t, '{pattern}') AS whole,
+                 regexp_extract_all(t, '{pattern}', {kind.group}) AS part
+          FROM texts)"""
+
+
+_FOUND = " UNION ALL ".join(_finds(n, kind) for n, kind in enumerate(secrets.KINDS))
+_BASES = len(secrets.BASE_KINDS)
+
+_SECRETS = f"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row_id, doc_id, COALESCE(text, '') AS t,
+           source AS owner, text AS repository
+    FROM documents
+),
+found AS ({_FOUND}),
+placed AS (
+    SELECT *, sum(length(gap) + length(found)) OVER (
+               PARTITION BY row_id, kind ORDER BY place) AS stop
+    FROM found
+),
+serious AS (
+    SELECT *, stop - length(found) AS start FROM placed
+    WHERE length(value) >= least
+      AND (kind < {_BASES}
+           OR (length(regexp_replace(value, '[^0-9]', '', 'g')) >= {secrets._LEAST_DIGITS}
+               AND length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= {secrets._LEAST_LETTERS}
+               AND len(list_distinct(string_split(value, ''))) >= {secrets._LEAST_DIFFERENT}))
+),
+holders AS (
+    SELECT value, count(DISTINCT COALESCE('+' || owner, '')) <= {secrets.MOST_OWNERS}
+           AND count(DISTINCT (COALESCE('+' || owner, ''), COALESCE('+' || repository, '')))
+               <= {secrets.MOST_REPOSITORIES} AS owned
+    FROM serious GROUP BY value
+),
+judged AS (SELECT s.*, owned FROM serious s JOIN holders h ON s.value = h.value),
+reported AS (
+    SELECT * FROM judged WHERE kind < {_BASES}
+    UNION ALL
+    SELECT a.* FROM judged a
+    WHERE kind >= {_BASES} AND owned AND NOT EXISTS (
+        SELECT 1 FROM judged b WHERE b.row_id = a.row_id AND b.kind < {_BASES}
+           AND b.start < a.stop AND b.stop > a.start)
+),
+listed AS (
+    SELECT row_id, kind, owned,
+           [{_NAMES}][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT)
+               AS span, start
+    FROM reported
+),
+per_row AS (
+    SELECT row_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+           count(*) FILTER (kind = 2) AS n_hex,
+           string_agg(span, ',' ORDER BY start, kind) FILTER (kind < {_BASES}) AS base,
+           string_agg(span, ',' ORDER BY start, kind) AS spans,
+           count(*) FILTER (owned) AS n_owned, count(*) FILTER (NOT owned) AS n_copied
+    FROM listed GROUP BY row_id
+)
+SELECT doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access,
+       COALESCE(n_hex, 0) AS n_hex, sha256(COALESCE(base, '')) AS base_sha256,
+       COALESCE(spans, '') AS spans, COALESCE(n_owned, 0) AS n_owned,
+       COALESCE(n_copied, 0) AS n_copied
+FROM texts LEFT JOIN per_row USING (row_id)"""
+
+_S = hard_negatives.Settings()
+_NEGATIVES = f"""
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda c: floor({_S.scale} * CAST(c AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same,
+           CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) AS BIGINT)
+               AS score
+    FROM rows a JOIN rows r ON r.vec_id <> a.vec_id
+    WHERE a.vec_id % 50 = 0
+),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id)
+            <= {_S.positives}
+)
+SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, score AS negative_score,
+       CAST(row_number() OVER (
+           PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS INTEGER) AS rank
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+WHERE {_S.least_percent} * positive_score <= 100 * score
+  AND 100 * score <= {_S.most_percent} * positive_score
+QUALIFY rank <= {_S.negatives}"""
+
 SQL: dict[str, str] = {
     "op3_perspective_rotation": _PERSPECTIVES,
     "op9_mix_sources": _MIX,
     "op10_quality_rules": _QUALITY,
+    "op12_owned_secrets": _SECRETS,
+    "op13_residue_negatives": _NEGATIVES,
 }
