@@ -14,6 +14,8 @@ import __spark_entry__ as contract
 
 GIVEN = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+#: queries of other packages are tested with them, on their own tables
+KEYS = [key for key in contract.queries() if key.startswith("w")]
 SPARK_TO_DUCKDB = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
     "date": "DATE", "boolean": "BOOLEAN",
@@ -114,15 +116,15 @@ def _check(spark, folder: str, key: str) -> None:
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(KEYS) == {key for key in contract.oracle_sql() if key.startswith("w")}
 
 
-@pytest.mark.parametrize("key", list(contract.queries()))
+@pytest.mark.parametrize("key", KEYS)
 def test_given_tables(spark, key):
     _check(spark, GIVEN, key)
 
 
-@pytest.mark.parametrize("key", list(contract.queries()))
+@pytest.mark.parametrize("key", KEYS)
 def test_skewed_tables(spark, skewed, key):
     _check(spark, skewed, key)
 
