@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.plans.session import checkpointed
+from tillscope.plans.session import stored
 
 # monotonically_increasing_id() keeps the partition number above bit 33 and the
 # row number within the partition below it.
 _ROW_BITS = 33
-#: rows of at most some 50 bytes each
-_BROADCAST_ROWS = 200_000
 
 
 def with_position(df: DataFrame, group: str, order_by: list[str]) -> DataFrame:
@@ -24,19 +22,16 @@ def with_position(df: DataFrame, group: str, order_by: list[str]) -> DataFrame:
     earlier partitions. ``order_by`` should end in a unique column; it then also
     splits runs of equal values over partitions.
 
-    Range bounds are sampled, so a second evaluation could cut the partitions
-    elsewhere; the numbered rows are checkpointed before they are counted. The
-    counts hold one row per partition and per group, and are broadcast only
-    while they are few.
+    Range bounds are sampled, so a second evaluation could cut the partitions elsewhere.
+    The sorted rows are therefore written once, when the plan is built, as Parquet with
+    their slot; shifts are part of the plan. A partition and group come together in one
+    count, so a join with the counts has no larger key than a range partition.
     """
-    numbered = checkpointed(
-        df.orderBy(group, *order_by).withColumn("_slot", F.monotonically_increasing_id())
-    )
+    slot = F.monotonically_increasing_id()
+    numbered = stored(df.orderBy(group, *order_by).withColumn("_slot", slot), "positions")
     placed = numbered.withColumn("_part", F.shiftright("_slot", _ROW_BITS))
-    runs = checkpointed(
-        placed.groupBy("_part", group).agg(
-            F.count(F.lit(1)).alias("_rows"), F.min("_slot").alias("_first")
-        )
+    runs = placed.groupBy("_part", group).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_slot").alias("_first")
     )
     in_group = Window.partitionBy(group)
     earlier = in_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,8 +42,6 @@ def with_position(df: DataFrame, group: str, order_by: list[str]) -> DataFrame:
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(in_group).alias("group_size"),
     )
-    if runs.count() <= _BROADCAST_ROWS:
-        shifts = F.broadcast(shifts)
     same_run = (F.col("_part") == F.col("_run_part")) & F.col(group).eqNullSafe(
         F.col("_run_group")
     )
@@ -71,9 +64,3 @@ def ntile_of(position: Column, group_size: Column, buckets: int) -> Column:
         .cast("bigint")
     )
 
-
-def is_median_row(position: Column, group_size: Column) -> Column:
-    """True for the one or two middle rows of a group."""
-    low = F.floor((group_size + 1) / 2)
-    high = F.floor(group_size / 2) + 1
-    return (position == low) | (position == high)

@@ -30,8 +30,10 @@ from tillscope.functions.calendar import (
 )
 from tillscope.functions.labels import first_match
 from tillscope.functions.numbers import dollars, percent, rounded, rounded_ratio
-from tillscope.functions.ordering import is_median_row, ntile_of, with_position
+from tillscope.functions.ordering import ntile_of, with_position
+from tillscope.functions.selection import middle_values
 from tillscope.plans.facts import customer_totals, kept_orders, order_facts
+from tillscope.plans.session import stored
 from tillscope.sources.star import Star
 
 
@@ -221,38 +223,53 @@ def clv_distribution(
 ) -> DataFrame:
     """Lifetime value per customer segment: mean, exact median, four tiers.
 
-    Tiers include both of their edges, so a value on an edge counts twice. The
-    median averages the middle rows of a distributed ranking; a MEDIAN would
-    hold every distinct value of a segment in one task.
+    Tiers include both of their edges, so a value on an edge counts twice. Customers are
+    counted per segment and value, and these counts written when the plan is built, so that
+    the lines are read once; the report is added up from them, and the median selected digit
+    by digit.
     """
     low, middle, high = (round(edge * 100) for edge in tiers)
-    value = F.col("lifetime_revenue")
-    ranked = with_position(
-        _lifetime_values(star, excluded_status).select(
-            "customer_id", "customer_segment", "lifetime_revenue", "lifetime_orders", "tenure_days"
+    value, times = F.col("lifetime_revenue"), F.col("customers")
+    values = stored(
+        _lifetime_values(star, excluded_status)
+        .groupBy("customer_segment", "lifetime_revenue")
+        .agg(
+            F.count(F.lit(1)).alias("customers"),
+            F.sum("lifetime_orders").alias("orders"),
+            F.sum("tenure_days").alias("tenure"),
         ),
-        "customer_segment",
-        ["lifetime_revenue", "customer_id"],
+        "lifetime-values",
     )
-    central = is_median_row(F.col("position"), F.col("group_size"))
-    per_segment = ranked.groupBy("customer_segment").agg(
-        F.count(F.lit(1)).alias("customers"),
-        F.sum("lifetime_revenue").alias("revenue"),
-        F.sum(F.when(central, value)).alias("central_sum"),
-        F.count_if(central).alias("central_rows"),
-        F.sum("lifetime_orders").alias("orders"),
-        F.sum("tenure_days").alias("tenure"),
-        F.count_if(value < low).alias("clv_under_50"),
-        F.count_if(value.between(low, middle)).alias("clv_50_200"),
-        F.count_if(value.between(middle, high)).alias("clv_200_500"),
-        F.count_if(value > high).alias("clv_over_500"),
+
+    def with_value(test: Column) -> Column:
+        return F.sum(F.when(test, times).otherwise(0))
+
+    most = values.agg(F.max(F.abs("lifetime_revenue"))).first()[0] or 0
+    middles = middle_values(
+        values, "customer_segment", "lifetime_revenue", "customers", most.bit_length()
+    )
+    middles = middles.withColumnRenamed("customer_segment", "own_segment")
+    per_segment = (
+        values.groupBy("customer_segment")
+        .agg(
+            F.sum("customers").alias("customers"),
+            F.sum(value * times).alias("revenue"),
+            F.sum("orders").alias("orders"),
+            F.sum("tenure").alias("tenure"),
+            with_value(value < low).alias("clv_under_50"),
+            with_value(value.between(low, middle)).alias("clv_50_200"),
+            with_value(value.between(middle, high)).alias("clv_200_500"),
+            with_value(value > high).alias("clv_over_500"),
+        )
+        .join(middles, F.col("customer_segment").eqNullSafe(F.col("own_segment")), "left")
+        .withColumn("central_sum", F.col("low") + F.col("high"))
     )
     customers = F.col("customers")
     return per_segment.select(
         "customer_segment",
         "customers",
         rounded_ratio(dollars("revenue"), customers, 2).alias("avg_clv"),
-        rounded_ratio(dollars("central_sum"), F.col("central_rows"), 2).alias("median_clv"),
+        rounded_ratio(dollars("central_sum"), F.lit(2), 2).alias("median_clv"),
         rounded_ratio(F.col("orders"), customers, 1).alias("avg_orders"),
         rounded_ratio(F.col("tenure"), customers, 0).alias("avg_tenure_days"),
         "clv_under_50",
