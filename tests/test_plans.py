@@ -7,7 +7,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tillscope.operators import commerce, customers, products, trends
+from tillscope.operators import baskets, commerce, customers, products, trends
+from tillscope.plans.basket_facts import open_basket_facts, store_basket_facts
 from tillscope.sources.load import load_tables, write_csv_tables
 from tillscope.sources.order_book import raw_star
 from tillscope.sources.star import Star
@@ -18,7 +19,7 @@ REPORTS = (
     customers.rfm_segmentation, products.category_performance,
     products.top_products_per_category, commerce.promo_effectiveness, trends.channel_mix,
     customers.clv_distribution, commerce.state_benchmark, trends.rolling_revenue,
-    products.market_basket, customers.new_vs_returning, commerce.store_scorecard,
+    baskets.market_basket, customers.new_vs_returning, commerce.store_scorecard,
     customers.purchase_gap, products.brand_share,
 )
 
@@ -107,10 +108,60 @@ def test_one_table_is_written_when_the_plan_is_built(spark, star, shared, report
     assert len(set(os.listdir(shared)) - before) == 1
 
 
-def test_basket_pairs_come_from_distinct_sets(star, large_tables):
-    text = plan(products.market_basket(star))
-    assert "ReusedExchange" in text
-    assert text.index("Generate posexplode") < text.index("collect_set")
+@pytest.mark.parametrize("item", ["category", "brand"])
+def test_basket_pairs_come_from_bits(star, large_tables, item):
+    """Bits are OR-ed before the shuffle in memory of fixed size: no sets, no sort fallback."""
+    text = plan(baskets.market_basket(star, item))
+    assert "partial_bit_or" in text and "ReusedExchange" in text
+    for costly in ("collect_", "ObjectHashAggregate", "SortAggregate"):
+        assert costly not in text
+    assert text.index("Generate posexplode") < text.index("partial_bit_or")
+
+
+def test_many_items_leave_by_support_before_the_tree(star, large_tables):
+    text = plan(baskets.item_pairs(star, "product_id", least_orders=3, few_items=0))
+    # one bound on pairs at the end, one on items below all sets
+    assert text.index(">= 3)") < text.index("collect_list") < text.rindex(">= 3)")
+
+
+@pytest.fixture()
+def small_catalogue(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("report", [products.category_performance, baskets.market_basket])
+def test_lines_move_once_when_the_catalogue_is_small(spark, star, small_catalogue, report):
+    orders = star.orders.hint("merge")  # orders never are
+    shop = Star(lambda name: orders if name == "orders" else star.table(name))
+    text = plan(report(shop))
+    assert text.count("Exchange hashpartitioning(order_id") == 2  # lines, orders
+    assert "Exchange hashpartitioning(product_id" not in text
+
+
+@pytest.fixture(scope="module")
+def stored(spark, star, tmp_path_factory):
+    path = f"{tmp_path_factory.mktemp('facts')}/basket_facts"
+    return path, store_basket_facts(star, path, "basket_facts_of_tests", buckets=4)
+
+
+def test_no_line_moves_when_facts_are_at_rest(stored, large_tables):
+    text = plan(products.category_performance(stored[1]))
+    assert "Bucketed: true" in text
+    assert "Exchange hashpartitioning(order_id" not in text
+    assert "Exchange hashpartitioning(product_id" not in text
+    first = text[text.rindex("Exchange hashpartitioning("):]
+    assert "partial_sum" in first  # one row per category and customer leaves a task
+
+
+def test_facts_at_rest_give_the_same_reports(spark, star, stored):
+    path, facts = stored
+    spark.sql("DROP TABLE basket_facts_of_tests")  # a later session knows only the files
+    facts = open_basket_facts(spark, star, path, "basket_facts_again", buckets=4)
+    for report in (products.category_performance, baskets.market_basket, baskets.item_pairs):
+        assert report(facts).collect() == report(star).collect()
+    assert "Bucketed: true" in plan(products.category_performance(facts))
 
 
 def test_skewed_order_is_split_by_adaptive_execution(spark, star):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+from itertools import combinations
+
 import pytest
 
 from tests.shop import customer, day, line, order, product, promotion, rows, shop, store
-from tillscope.operators import commerce, customers, products, trends
+from tillscope.operators import baskets, commerce, customers, products, trends
 from tillscope.plans.facts import materialise_order_facts
 
 
@@ -220,8 +224,53 @@ def test_basket_lift_counts_orders_without_lines(spark):
                line("5", "m", 1, 1), line("5", "t", 1, 1, at=2)],
         products=[product("t", "Tea"), product("c", "Coffee"), product("m", "Mugs")],
     )
-    assert rows(products.market_basket(star)) == [("Coffee", "Tea", 2, 2, 3, 1.333)]
-    assert rows(products.category_pairs(star)) == [("Coffee", "Tea", 2)]
+    assert rows(baskets.market_basket(star)) == [("Coffee", "Tea", 2, 2, 3, 1.333)]
+    assert rows(baskets.item_pairs(star)) == [("Coffee", "Tea", 2)]
+
+
+def _bought(seed: int) -> tuple[list, list, list]:
+    """Orders of very different sizes over 40 products in 30 brands, with repeated lines."""
+    draw = random.Random(seed)
+    stock = [product(f"P{i:02}", brand=f"B{i % 30:02}") for i in range(40)]
+    stock += [("NoBrand", "x", "Tea", "Any", None, None, None, True)]
+    orders, items = [], []
+    for i in range(60):
+        status = "Cancelled" if i % 9 == 0 else "Delivered"
+        orders.append(order(f"O{i}", "C1", "2023-01-01", status=status))
+        size = draw.choice([0, 1, 2, 3, 5, 38])
+        for at in range(size):
+            which = draw.choice(["NoBrand", "Unknown", *(f"P{draw.randrange(40):02}" for _ in range(9))])
+            items.append(line(f"O{i}", which, 1, 2, at=at))
+    items += [line("O1", "P01", 1, 2, at=100 + i) for i in range(200)]
+    return orders, items, stock
+
+
+@pytest.mark.parametrize("least", [1, 4])
+@pytest.mark.parametrize("longest", [2, 7, 64])
+def test_bits_tree_and_blocks_count_the_same_pairs(spark, monkeypatch, least, longest):
+    monkeypatch.setattr(baskets, "_LONGEST", longest)
+    orders, items, stock = _bought(longest)
+    star = shop(spark, orders, items, products=stock)
+    brand_of = {p[0]: p[4] for p in stock}
+    cancelled = {o[0] for o in orders if o[6] == "Cancelled"}
+    held = {}
+    for i in items:
+        if brand_of.get(i[2]) and i[0] not in cancelled:
+            held.setdefault(i[0], set()).add(brand_of[i[2]])
+    counts = Counter(pair for own in held.values() for pair in combinations(sorted(own), 2))
+    expected = sorted((a, b, n) for (a, b), n in counts.items() if n >= least)
+    for few in (256, 0):
+        found = rows(baskets.item_pairs(star, "brand", least_orders=least, few_items=few))
+        assert found == expected
+    bits, tree = (baskets.market_basket(star, "brand", least, few_items=n) for n in (256, 0))
+    assert rows(bits) == rows(tree)
+
+
+def test_baskets_without_items(spark):
+    star = shop(spark, [order("O1", "C1", "2023-01-01")], [], products=[product("P1")])
+    for few in (256, 0):
+        assert rows(baskets.market_basket(star, "brand", few_items=few)) == []
+
 
 
 def test_all_orders_of_the_first_day_are_new(spark):

@@ -1,4 +1,4 @@
-"""Reports on categories, products, brands and baskets."""
+"""Reports on categories, products and brands."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.fixed_values import CANCELLED, TOP_PRODUCTS
-from tillscope.functions.numbers import dollars, in_cents, percent, ratio, rounded_ratio
+from tillscope.functions.numbers import dollars, percent
+from tillscope.plans.basket_facts import sold_products
 from tillscope.plans.facts import kept_orders, line_revenue
 from tillscope.sources.star import Star
 
@@ -16,21 +17,17 @@ def category_performance(star: Star, excluded_status: str = CANCELLED) -> DataFr
 
     Lines shrink step by step to (order, category), (category, customer) and
     category. Each step is an aggregate with a map-side part, and each distinct
-    count becomes a plain count of the rows one step below.
+    count becomes a plain count of the rows one step below. The first step reuses the
+    partitioning by order, of the join or of the facts at rest.
     """
-    catalogue = star.products.select("product_id", "category", "unit_cost")
-    per_order = (
-        star.order_items.join(catalogue, "product_id")
-        .groupBy("order_id", "category")
+    per_customer = (
+        sold_products(star, excluded_status)
+        .groupBy("order_id", "customer_id", "category")
         .agg(
-            F.sum("quantity").alias("units"),
-            F.sum(line_revenue(star.order_items)).alias("revenue"),
-            F.sum(F.col("quantity") * in_cents(catalogue, "unit_cost")).alias("cost"),
+            F.sum("units").alias("units"),
+            F.sum("revenue").alias("revenue"),
+            F.sum("cost").alias("cost"),
         )
-    )
-    buyers = kept_orders(star, excluded_status).select("order_id", "customer_id")
-    per_customer = (
-        per_order.join(buyers, "order_id")
         .groupBy("category", "customer_id")
         .agg(
             F.count(F.lit(1)).alias("orders"),
@@ -137,71 +134,3 @@ def brand_share(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
         percent(F.col("revenue"), F.sum("revenue").over(in_category)).alias("category_share_pct"),
         F.rank().over(best_first).cast("bigint").alias("rank_in_category"),
     ).orderBy("category", "rank_in_category", "brand")
-
-
-def _category_sets(star: Star, excluded_status: str) -> DataFrame:
-    """Each distinct set of categories bought together, and its number of orders.
-
-    The set of an order holds at most every category once. Pairs are formed from
-    the distinct sets, of which there are far fewer than orders.
-    """
-    kept = kept_orders(star, excluded_status).select("order_id")
-    return (
-        star.order_items.join(star.products.select("product_id", "category"), "product_id")
-        .groupBy("order_id")
-        .agg(F.collect_set("category").alias("categories"))
-        .join(kept, "order_id", "left_semi")
-        .groupBy(F.sort_array("categories").alias("categories"))
-        .agg(F.count(F.lit(1)).alias("orders"))
-    )
-
-
-def _pair_counts(sets: DataFrame) -> DataFrame:
-    firsts = sets.select("categories", "orders", F.posexplode("categories").alias("at", "category_a"))
-    following = F.slice("categories", F.col("at") + 2, F.size("categories"))
-    return (
-        firsts.select("category_a", F.explode(following).alias("category_b"), "orders")
-        .groupBy("category_a", "category_b")
-        .agg(F.sum("orders").alias("co_occurrence"))
-    )
-
-
-def category_pairs(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
-    """Orders that hold both categories of a pair (first name sorts lower)."""
-    return _pair_counts(_category_sets(star, excluded_status)).orderBy("category_a", "category_b")
-
-
-def market_basket(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
-    """Pairs of categories bought together and their lift.
-
-    The lift is taken against all kept orders, also those without lines.
-    """
-    sets = _category_sets(star, excluded_status)
-    totals = (
-        sets.select(F.explode("categories").alias("category"), "orders")
-        .groupBy("category")
-        .agg(F.sum("orders").alias("orders"))
-    )
-    all_orders = kept_orders(star, excluded_status).agg(F.count(F.lit(1)).alias("n")).scalar()
-    left = totals.select(F.col("category").alias("category_a"), F.col("orders").alias("orders_with_a"))
-    right = totals.select(
-        F.col("category").alias("category_b"), F.col("orders").alias("orders_with_b")
-    )
-    expected = ratio(
-        F.col("orders_with_a").cast("double") * F.col("orders_with_b"), F.col("all_orders")
-    )
-    return (
-        _pair_counts(sets)
-        .join(left, "category_a")
-        .join(right, "category_b")
-        .withColumn("all_orders", all_orders)
-        .select(
-            "category_a",
-            "category_b",
-            "co_occurrence",
-            "orders_with_a",
-            "orders_with_b",
-            rounded_ratio(F.col("co_occurrence"), expected, 3).alias("lift"),
-        )
-        .orderBy(F.desc("lift"), F.desc("co_occurrence"), "category_a", "category_b")
-    )

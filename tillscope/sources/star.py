@@ -14,12 +14,17 @@ class Star:
     """The six tables; each is read when an analysis first asks for it."""
 
     def __init__(
-        self, read: Callable[[str], DataFrame], order_facts: DataFrame | None = None
+        self,
+        read: Callable[[str], DataFrame],
+        order_facts: DataFrame | None = None,
+        basket_facts: DataFrame | None = None,
     ) -> None:
         self._read = read
         self._tables: dict[str, DataFrame] = {}
         #: order-grain facts kept at rest, see ``tillscope.plans.facts``
         self.order_facts = order_facts
+        #: facts per order and product at rest, see ``tillscope.plans.basket_facts``
+        self.basket_facts = basket_facts
 
     @classmethod
     def of(cls, **frames: DataFrame) -> Star:
@@ -33,7 +38,10 @@ class Star:
         return self._tables[name]
 
     def with_order_facts(self, facts: DataFrame) -> Star:
-        return Star(self.table, facts)
+        return Star(self.table, facts, self.basket_facts)
+
+    def with_basket_facts(self, facts: DataFrame) -> Star:
+        return Star(self.table, self.order_facts, facts)
 
     @property
     def customers(self) -> DataFrame:
