@@ -90,17 +90,50 @@ def _sample(table: str, limit: str) -> str:
     return over_star(f"\nSELECT {picked} FROM star_{table} s ORDER BY {order} {limit}")
 
 
+_ROWS_GIVEN = "\nUNION ALL\n".join(
+    f"SELECT CAST({at} AS BIGINT) AS load_order, '{t}' AS table_name, count(*) AS row_count "
+    f"FROM star_{t}"
+    for at, t in enumerate(KEYS, start=1)
+)
+
 CHECKS: dict[str, str] = {
-    "w17_load_tables": _all(
-        f"SELECT CAST({at} AS BIGINT) AS load_order, '{t}' AS table_name, count(*) AS row_count "
-        f"FROM star_{t}"
-        for at, t in enumerate(KEYS, start=1)
-    ),
+    "w17_load_tables": over_star("\n" + _ROWS_GIVEN),
     "w17b_load_values": _all(
         f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST(0 AS BIGINT) AS rows_lost, "
         f"CAST(0 AS BIGINT) AS rows_gained FROM star_{t}"
         for t in KEYS
     ),
+    "w17c_load_rejects": over_star(f""",
+spoilt AS (
+    -- a row each, keys are not unique: how many of its cells, and of which columns
+    SELECT 'order_items' AS table_name, ['quantity'] AS cells
+    FROM star_order_items WHERE order_id % 97 = 0 AND line_item = 1
+    UNION ALL
+    SELECT 'orders', ['order_date'] FROM star_orders WHERE order_id % 101 = 0
+    UNION ALL
+    SELECT 'products',
+           list_filter([if(product_id % 50 = 0, 'unit_price', NULL),
+                        if(product_id % 75 = 0, 'is_active', NULL)], lambda c: c IS NOT NULL)
+    FROM star_products WHERE product_id % 50 = 0 OR product_id % 75 = 0
+),
+rejects AS (
+    SELECT table_name, count(*) AS set_aside, CAST(sum(len(cells)) AS BIGINT) AS cells,
+           len(list_distinct(flatten(list(cells)))) AS columns
+    FROM spoilt GROUP BY table_name
+),
+given AS ({_ROWS_GIVEN})
+SELECT load_order, table_name, row_count - COALESCE(set_aside, 0) AS row_count,
+       COALESCE(set_aside, 0) AS rows_set_aside, COALESCE(cells, 0) AS bad_cells,
+       COALESCE(columns, 0) AS bad_columns
+FROM given LEFT JOIN rejects USING (table_name)"""),
+    "w25_order_facts": over_star("""
+SELECT o.order_id, o.customer_id, o.order_date, o.channel, o.store_id, o.promo_id, o.status,
+       CAST(ROUND(sum(quantity * final_unit_price), 2) AS DOUBLE) AS revenue,
+       CAST(ROUND(sum(quantity * unit_price), 2) AS DOUBLE) AS list_value,
+       CAST(sum(quantity) AS BIGINT) AS units,
+       NULLIF(count(quantity), 0) AS line_count
+FROM star_orders o LEFT JOIN star_order_items i USING (order_id)
+GROUP BY ALL"""),
     "w18_primary_key_check": _all(
         f"SELECT '{t}' AS table_name, '{', '.join(key)}' AS key_columns, "
         "count(*) AS duplicate_keys, CAST(COALESCE(sum(copies - 1), 0) AS BIGINT) AS surplus_rows "

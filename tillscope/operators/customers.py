@@ -310,8 +310,8 @@ def new_vs_returning(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
     ).orderBy("month", "customer_type")
 
 
-#: rows of one array while same-day orders are written out
-_CHUNK = 4096
+#: numbers of one row while the orders of a day are written out
+_CHUNK = 256
 
 
 def _order_days(star: Star, excluded_status: str) -> DataFrame:
@@ -345,13 +345,22 @@ def customer_gaps(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
     days = _order_days(star, excluded_status).withColumn(
         "before", F.coalesce(F.sum("orders").over(earlier), F.lit(0))
     )
-    # two steps, so that no array grows with the number of orders of a day
-    chunks = days.withColumn(
-        "chunk", F.explode(F.sequence(F.lit(1), F.col("orders"), F.lit(_CHUNK).cast("bigint")))
+    # a day with many orders is cut into ranges of numbers, which are dealt over all tasks
+    # before they are written out; other days stay where they are
+    few = days.where(F.col("orders") <= _CHUNK).withColumn("chunk", F.lit(1).cast("bigint"))
+    tasks = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = (
+        days.where(F.col("orders") > _CHUNK)
+        .withColumn(
+            "chunk",
+            F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("orders"), F.lit(_CHUNK).cast("bigint"))),
+        )
+        .repartition(tasks)
     )
     last = F.least(F.col("chunk") + _CHUNK - 1, F.col("orders"))
     return (
-        chunks.withColumn("nth", F.explode(F.sequence(F.col("chunk"), last)))
+        few.unionByName(many)
+        .withColumn("nth", F.explode(F.sequence(F.col("chunk"), last)))
         .select(
             "customer_id",
             (F.col("before") + F.col("nth")).alias("purchase_seq"),

@@ -31,7 +31,8 @@ def kept_orders(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
     return star.orders.filter(F.col("status") != excluded_status)
 
 
-def _all_order_facts(star: Star) -> DataFrame:
+def all_order_facts(star: Star) -> DataFrame:
+    """One row per order, amounts in cents; null totals for one without lines."""
     items = star.order_items
     totals = items.groupBy("order_id").agg(
         F.sum(line_revenue(items)).alias("revenue"),
@@ -44,7 +45,7 @@ def _all_order_facts(star: Star) -> DataFrame:
 
 def order_facts(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
     """One row per kept order, amounts in cents; null totals for one without lines."""
-    facts = star.order_facts if star.order_facts is not None else _all_order_facts(star)
+    facts = star.order_facts if star.order_facts is not None else all_order_facts(star)
     return facts.filter(F.col("status") != excluded_status)
 
 
@@ -59,7 +60,7 @@ def materialise_order_facts(star: Star, path: str) -> Star:
     Nine of the sixteen analyses start from this table, so running several of them
     over the same star shuffles the lines once instead of once per analysis.
     """
-    _all_order_facts(star).write.mode("overwrite").parquet(path)
+    all_order_facts(star).write.mode("overwrite").parquet(path)
     return star.with_order_facts(star.orders.sparkSession.read.parquet(path))
 
 

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillscope.operators.profile import row_counts
+from tillscope.sources.published import current, new_folder, publish
 from tillscope.sources.schema import TABLES
 from tillscope.sources.star import Star, fill_defaults, read_star
 
 # a quote inside a quoted cell is written twice; a backslash is a plain character
 _QUOTING = {"quote": '"', "escape": '"'}
 _DATES = "yyyy-MM-dd"
+REJECTS = "rejects"
+_REJECTED = "table_name STRING, file STRING, line BIGINT, column_name STRING, cell STRING"
 
 
 def read_csv_table(
@@ -67,24 +70,161 @@ def read_csv_table(
     return fill_defaults(typed, table) if fill_nulls else typed
 
 
+def _as_declared(cell: Column, kind: T.DataType) -> Column:
+    """The cell under its type, null where it does not fit."""
+    if kind == T.DateType():
+        # the cast alone would take a date without leading zeros
+        return F.when(cell.rlike(r"^\d{4}-\d{2}-\d{2}$"), cell.try_cast(kind))
+    return cell.try_cast(kind)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of the files, with file, block of the file, and place within the scan."""
+    return spark.read.text(path).select(
+        F.col("value").alias("_line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
+
+
+def _line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows`` of ``lines`` with ``line``, their number in the file from 1.
+
+    A scan numbers the lines of a block without a gap, so a number is the place within the
+    block and the lines of earlier blocks: one row per block, however long the file.
+    """
+    blocks = lines.groupBy("_file", "_block").agg(
+        F.count(F.lit(1)).alias("_held"), F.min("_place").alias("_first")
+    )
+    earlier = (
+        Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_held").over(earlier), F.lit(0)))
+    number = F.col("_before") + F.col("_place") - F.col("_first") + 1
+    return rows.join(blocks, ["_file", "_block"]).withColumn("line", number)
+
+
+def split_csv_table(
+    spark: SparkSession, path: str, table: str, fill_nulls: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of one CSV that fit their types, and the cells that do not.
+
+    Rows are as ``read_csv_table`` gives them. Rejects have table_name, file, line (of the
+    file, the header is line 1), column_name and cell; a row with several bad cells has several
+    and is not loaded. A line with too few or too many cells is rejected whole, under a null
+    column. Cells cannot hold line breaks here.
+    """
+    spec = TABLES[table]
+    names = spark.read.csv(path, header=True, **_QUOTING).columns
+    given = [f for f in spec.struct if f.name in names or f.name not in spec.defaults]
+    if names != [f.name for f in given]:
+        raise ValueError(f"{path} has the columns {names}, not {[f.name for f in given]}")
+    lines = _lines(spark, path)
+    header = (F.col("_block") == 0) & (F.col("_line") == ",".join(names))
+    cells = ", ".join(f"`{f.name}` STRING" for f in given)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_whole", **_QUOTING}
+    parsed = lines.where((F.length("_line") > 0) & ~header).withColumn(
+        "_cells", F.from_csv("_line", f"{cells}, _whole STRING", options)
+    )
+
+    def cell(f: T.StructField) -> Column:
+        return F.col(f"_cells.`{f.name}`")
+
+    odd = F.col("_cells._whole").isNotNull()
+    bad = [cell(f).isNotNull() & _as_declared(cell(f), f.dataType).isNull() for f in given]
+    fits = ~odd & ~reduce(Column.__or__, bad)
+    at_hand = {f.name for f in given}
+    typed = parsed.where(fits).select(
+        *(
+            (
+                _as_declared(cell(f), f.dataType)
+                if f.name in at_hand
+                else F.expr(spec.defaults[f.name]).cast(f.dataType)
+            ).alias(f.name)
+            for f in spec.struct
+        )
+    )
+    found = [
+        F.when(odd, F.struct(F.lit(None).cast("string").alias("column_name"), F.col("_line").alias("cell"))),
+        *(
+            F.when(~odd & test, F.struct(F.lit(f.name).alias("column_name"), cell(f).alias("cell")))
+            for f, test in zip(given, bad, strict=True)
+        ),
+    ]
+    rejects = _line_numbers(parsed.where(~fits), lines).select(
+        F.lit(table).alias("table_name"),
+        F.col("_file").alias("file"),
+        "line",
+        F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())),
+    )
+    return fill_defaults(typed, table) if fill_nulls else typed, rejects
+
+
 def load_tables(
     spark: SparkSession,
     csv_root: str,
     root: str,
     multi_line: bool = False,
     fill_nulls: bool = False,
+    set_aside: bool = False,
 ) -> Star:
-    """Rebuild every table under ``root`` from ``csv_root/<table>.csv``.
+    """Rebuild every table under ``root`` from ``csv_root/<table>.csv``, all or nothing.
 
-    The key checks are jobs of their own (``tillscope.operators.quality``), so
-    the order of the writes does not matter to Spark; parents still come first.
+    The tables are written to a new folder and published together at the end. A load that
+    fails leaves the star that was there as it was. Cells that do not fit their type fail it,
+    or with ``set_aside`` go to the published table of rejects (see ``read_rejects``), with
+    their rows left out.
     """
+    if multi_line and set_aside:
+        raise ValueError("lines are not numbered where cells hold line breaks")
+    folder = new_folder()
+    rejected = None
     for table in TABLES:
-        frame = read_csv_table(spark, f"{csv_root}/{table}.csv", table, multi_line, fill_nulls)
-        frame.write.mode("overwrite").parquet(f"{root}/{table}")
+        path = f"{csv_root}/{table}.csv"
+        if set_aside:
+            frame, rejects = split_csv_table(spark, path, table, fill_nulls)
+            rejected = rejects if rejected is None else rejected.unionByName(rejects)
+        else:
+            frame = read_csv_table(spark, path, table, multi_line, fill_nulls)
+        frame.write.parquet(f"{root}/{folder}/{table}")
+    parts: dict[str, str | None] = {table: f"{folder}/{table}" for table in TABLES}
+    parts[REJECTS] = None
+    if rejected is not None:
+        rejected.write.parquet(f"{root}/{folder}/{REJECTS}")
+        parts[REJECTS] = f"{folder}/{REJECTS}"
+    publish(spark, root, parts)
     return read_star(spark, root)
 
 
+def read_rejects(spark: SparkSession, root: str) -> DataFrame | None:
+    """Cells that the published load set aside; None where it set none aside by order."""
+    folder = current(spark, root).get(REJECTS)
+    return None if folder is None else spark.read.schema(_REJECTED).parquet(folder)
+
+
+def reject_report(spark: SparkSession, csv_root: str, root: str) -> DataFrame:
+    """Load everything, bad cells aside, and count per table what came in and what did not."""
+    star = load_tables(spark, csv_root, root, set_aside=True)
+    rejects = read_rejects(spark, root).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("bad_cells"),
+        F.count_distinct("file", "line").alias("rows_set_aside"),
+        F.count_distinct("column_name").alias("bad_columns"),
+    )
+    none = F.lit(0).cast("bigint")
+    return (
+        row_counts(star)
+        .join(rejects, "table_name", "left")
+        .select(
+            "load_order",
+            "table_name",
+            "row_count",
+            *(F.coalesce(c, none).alias(c) for c in ("rows_set_aside", "bad_cells", "bad_columns")),
+        )
+        .orderBy("load_order")
+    )
+
+
 def write_csv_tables(star: Star, csv_root: str) -> None:
     """Write a star as the CSV files that ``load_tables`` reads."""
     for table, spec in TABLES.items():

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.sources.published import current
 from tillscope.sources.schema import TABLES
 
 
@@ -69,11 +70,12 @@ class Star:
 
 
 def read_star(spark: SparkSession, root: str) -> Star:
-    """Read the Parquet tables written by ``tillscope.sources.load.load_tables``.
+    """Read the tables that ``tillscope.sources.load.load_tables`` last published.
 
-    The declared schema is given, so no file is opened before a query runs.
+    The declared schema is given, so no data file is opened before a query runs.
     """
-    return Star(lambda name: spark.read.schema(TABLES[name].struct).parquet(f"{root}/{name}"))
+    folders = current(spark, root)
+    return Star(lambda name: spark.read.schema(TABLES[name].struct).parquet(folders[name]))
 
 
 def fill_defaults(df: DataFrame, table: str) -> DataFrame:
