@@ -110,20 +110,24 @@ def over_star(body: str) -> str:
 
 
 def half_up(value: str, digits: int) -> str:
-    """ROUND a DOUBLE on its decimal value: ROUND alone sees 1.005 as less than a tie."""
+    """ROUND a DOUBLE that ends in halves on its decimal value: ROUND alone sees 1.005 as
+    less than a tie. Medians only: for any quotient this would round twice."""
     return f"CAST(ROUND(CAST({value} AS DECIMAL(38,8)), {digits}) AS DOUBLE)"
 
 
-def div(numerator: str, denominator: str, digits: int) -> str:
-    return half_up(
-        f"CAST({numerator} AS DOUBLE) / NULLIF(CAST({denominator} AS DOUBLE), 0)", digits
+def div(numerator: str, denominator: str, digits: int, times: int = 1) -> str:
+    """Quotient of numbers of at most two places, half up in whole numbers."""
+    above = f"CAST(ROUND(({numerator}) * 100) AS HUGEINT)"
+    below = f"CAST(ROUND(({denominator}) * 100) AS HUGEINT)"
+    size = (
+        f"(2 * {times * 10**digits} * abs({above}) + abs({below})) // NULLIF(2 * abs({below}), 0)"
     )
+    sign = f"if(({above} < 0) <> ({below} < 0), -1, 1)"
+    return f"CAST({sign} * ({size}) AS DOUBLE) / {10**digits}"
 
 
 def pct(numerator: str, denominator: str) -> str:
-    return half_up(
-        f"CAST({numerator} AS DOUBLE) / NULLIF(CAST({denominator} AS DOUBLE), 0) * 100", 1
-    )
+    return div(numerator, denominator, 1, times=100)
 
 
 def cents(amount: str) -> str:

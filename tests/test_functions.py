@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.shop import rows
 from tillscope.functions.calendar import quarters_between
 from tillscope.functions.labels import first_match
-from tillscope.functions.numbers import in_cents, percent, rounded, rounded_ratio
+from tillscope.functions.numbers import dollar_ratio, in_cents, percent, rounded_ratio
 from tillscope.functions.ordering import ntile_of, with_position
 from tillscope.functions.selection import middle_values
 from tillscope.plans.session import scale_settings
@@ -21,11 +22,30 @@ def test_ratio_by_zero_is_null(spark):
 
 
 @pytest.mark.parametrize(
-    "value, digits, expected",
-    [(1.005, 2, 1.01), (934477.10 / 20, 2, 46723.86), (2.5, 0, 3.0), (-1.005, 2, -1.01)],
+    "numerator, denominator, digits, expected",
+    [
+        (1005, 1000, 2, 1.01), (-1005, 1000, 2, -1.01), (1005, -1000, 2, -1.01),
+        (93447710, 2000, 2, 46723.86), (5, 2, 0, 3.0), (0, 7, 2, 0.0), (None, 1, 1, None),
+        # just below a tie: rounding to eight places first would make it one
+        (12_349_999_996, 10**9, 1, 12.3), (-12_349_999_996, 10**9, 1, -12.3),
+        (2**63 - 1, 1, 0, float(2**63 - 1)), (2**63 - 1, 2**63 - 1, 3, 1.0),
+    ],
 )
-def test_ties_round_half_up(spark, value, digits, expected):
-    assert rows(spark.range(1).select(rounded(F.lit(value), digits))) == [(expected,)]
+def test_ratios_round_half_up_once(spark, numerator, denominator, digits, expected):
+    df = spark.createDataFrame([(numerator, denominator)], "n long, d long")
+    assert rows(df.select(rounded_ratio(F.col("n"), F.col("d"), digits))) == [(expected,)]
+
+
+def test_ratios_equal_exact_fractions(spark):
+    draw = random.Random(2)
+    pairs = [(draw.randint(-(10**12), 10**12), draw.randint(1, 10 ** draw.randint(1, 9)))
+             for _ in range(400)]
+    df = spark.createDataFrame(pairs, "n long, d long")
+    found = rows(df.select("n", "d", dollar_ratio(F.col("n"), F.col("d")), percent(F.col("n"), F.col("d"))))
+    for n, d, dollars_each, share in found:
+        for value, scale, got in ((Fraction(n, 100 * d), 100, dollars_each), (Fraction(100 * n, d), 10, share)):
+            size = (2 * abs(value) * scale + 1) // 2
+            assert got == (-size if n < 0 else size) / scale
 
 
 def test_cents_are_exact_and_refuse_other_types(spark):

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tillscope.operators import baskets, commerce, customers, products, trends
+from tillscope.operators import baskets, commerce, customers, products, profile, trends
 from tillscope.plans.basket_facts import open_basket_facts, store_basket_facts
 from tillscope.sources.load import load_tables, write_csv_tables
 from tillscope.sources.order_book import raw_star
@@ -164,6 +164,12 @@ def test_facts_at_rest_give_the_same_reports(spark, star, stored):
     assert "Bucketed: true" in plan(products.category_performance(facts))
 
 
+def test_sample_reads_other_columns_only_up_to_the_last_key(star):
+    keys = star.orders.select("order_id").orderBy("order_id").limit(5).collect()
+    text = plan(profile.table_sample(star, "orders"))
+    assert f"LessThanOrEqual(order_id,{keys[-1].order_id})" in text
+
+
 def test_skewed_order_is_split_by_adaptive_execution(spark, star):
     """With thresholds at test size, a hot order splits its join partition."""
     settings = {

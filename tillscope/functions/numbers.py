@@ -2,8 +2,8 @@
 
 Prices are DECIMAL with two places, so amounts are added up as whole cents in
 BIGINT: exact, narrower in a shuffle than the DECIMAL(31,2) of a sum, and an
-overflow raises. Reports publish amounts as DOUBLE. Ratios are taken in DOUBLE, give
-NULL for a zero divisor and are rounded last.
+overflow raises. Ratios are taken of whole numbers, rounded half up in whole numbers, and
+give NULL for a zero divisor. Reports publish amounts and ratios as DOUBLE.
 """
 
 from __future__ import annotations
@@ -25,22 +25,36 @@ def dollars(cents: Column | str) -> Column:
     return (F.col(cents) if isinstance(cents, str) else cents) / 100
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+#: wide enough for a product of two BIGINTs
+_WHOLE = "decimal(38,0)"
 
 
-def rounded(value: Column, digits: int) -> Column:
-    """Round a DOUBLE half up on its decimal value.
+def whole(value: Column) -> Column:
+    """A whole number that may grow beyond BIGINT within an expression."""
+    return value.cast(_WHOLE)
 
-    A quotient that should end in ...5 is often a DOUBLE just below it; eight
-    decimals are kept first so that such a tie is seen as one.
+
+def half_up(numerator: Column, denominator: Column) -> Column:
+    """The quotient of two whole numbers as BIGINT, halves away from zero.
+
+    Taken in whole numbers, so no quotient is rounded twice: 12.349999996 is not a tie of
+    12.3 and 12.4, and 1.005 is one of 1.00 and 1.01.
     """
-    return F.round(value.cast("decimal(38,8)"), digits).cast("double")
+    above, below = F.abs(whole(numerator)), F.abs(whole(denominator))
+    size = F.call_function("div", above * 2 + below, F.nullif(below * 2, F.lit(0)))
+    return F.when((numerator < 0) != (denominator < 0), -size).otherwise(size)
 
 
 def rounded_ratio(numerator: Column, denominator: Column, digits: int) -> Column:
-    return rounded(ratio(numerator, denominator), digits)
+    """The quotient of two whole numbers as DOUBLE, rounded half up to ``digits``."""
+    scale = 10**digits
+    return half_up(whole(numerator) * scale, denominator).cast("double") / scale
+
+
+def dollar_ratio(cents: Column, denominator: Column, digits: int = 2) -> Column:
+    """Dollars for each of ``denominator``, from whole cents."""
+    return rounded_ratio(cents, whole(denominator) * 100, digits)
 
 
 def percent(numerator: Column, denominator: Column, digits: int = 1) -> Column:
-    return rounded(ratio(numerator, denominator) * 100, digits)
+    return rounded_ratio(whole(numerator) * 100, denominator, digits)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.fixed_values import CANCELLED
-from tillscope.functions.numbers import ratio, rounded_ratio
+from tillscope.functions.numbers import rounded_ratio, whole
 from tillscope.plans.basket_facts import KEY, sold_lines
 from tillscope.plans.facts import kept_orders
 from tillscope.sources.star import Star
@@ -224,9 +224,8 @@ def market_basket(
     all_orders = kept_orders(star, excluded_status).agg(F.count(F.lit(1)).alias("n")).scalar()
     left = items.select(F.col("item").alias("a"), F.col("orders").alias("orders_with_a"))
     right = items.select(F.col("item").alias("b"), F.col("orders").alias("orders_with_b"))
-    expected = ratio(
-        F.col("orders_with_a").cast("double") * F.col("orders_with_b"), F.col("all_orders")
-    )
+    together = whole(F.col("orders")) * F.col("all_orders")
+    expected = whole(F.col("orders_with_a")) * F.col("orders_with_b")
     first, second = f"{item}_a", f"{item}_b"
     return (
         pairs.join(left, "a")
@@ -238,7 +237,7 @@ def market_basket(
             F.col("orders").alias("co_occurrence"),
             "orders_with_a",
             "orders_with_b",
-            rounded_ratio(F.col("orders"), expected, 3).alias("lift"),
+            rounded_ratio(together, expected, 3).alias("lift"),
         )
         .orderBy(F.desc("lift"), F.desc("co_occurrence"), first, second)
     )

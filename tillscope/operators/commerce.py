@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.fixed_values import CANCELLED, NO_PROMOTION, ONLINE, RETURNED
-from tillscope.functions.numbers import dollars, in_cents, percent, rounded_ratio
+from tillscope.functions.numbers import (
+    dollar_ratio,
+    dollars,
+    half_up,
+    in_cents,
+    percent,
+    rounded_ratio,
+)
 from tillscope.plans.facts import (
     customer_totals,
     kept_orders,
@@ -44,7 +51,7 @@ def executive_summary(
         dollars("revenue").alias("total_revenue"),
         dollars("profit").alias("gross_profit"),
         percent(F.col("profit"), F.col("revenue")).alias("gross_margin_pct"),
-        rounded_ratio(dollars("revenue"), orders, 2).alias("avg_order_value"),
+        dollar_ratio(F.col("revenue"), orders).alias("avg_order_value"),
         rounded_ratio(F.col("units"), orders, 1).alias("avg_units_per_order"),
         "returned_orders",
         percent(F.col("returned_orders"), orders).alias("return_rate_pct"),
@@ -83,7 +90,7 @@ def promo_effectiveness(
         report.select(
             F.coalesce("promo_name", F.lit(no_promo_label)).alias("promo_name"),
             "order_count",
-            rounded_ratio(dollars("revenue"), F.col("order_count"), 2).alias("avg_order_value"),
+            dollar_ratio(F.col("revenue"), F.col("order_count")).alias("avg_order_value"),
             rounded_ratio(F.col("units"), F.col("order_count"), 1).alias("avg_basket_size"),
             dollars("revenue").alias("total_revenue"),
             dollars(discount).alias("total_discount_given"),
@@ -111,21 +118,21 @@ def state_benchmark(star: Star, excluded_status: str = CANCELLED) -> DataFrame:
             F.count("customer_id").alias("active_customers"),
             F.sum("revenue").alias("revenue"),
         )
-        .withColumn("aov", rounded_ratio(dollars("revenue"), F.col("orders"), 2))
+        .withColumn("aov", half_up(F.col("revenue"), F.col("orders")))
     )
     nation = Window.partitionBy()
     compared = states.withColumn("nation_revenue", F.sum("revenue").over(nation)).withColumn(
         "nat_aov",
-        rounded_ratio(dollars("nation_revenue"), F.sum("orders").over(nation), 2),
+        half_up(F.col("nation_revenue"), F.sum("orders").over(nation)),
     )
     return compared.select(
         "state",
         "orders",
         "active_customers",
         dollars("revenue").alias("revenue"),
-        "aov",
-        rounded_ratio(dollars("revenue"), F.col("active_customers"), 2).alias("rev_per_customer"),
-        "nat_aov",
+        dollars("aov").alias("aov"),
+        dollar_ratio(F.col("revenue"), F.col("active_customers")).alias("rev_per_customer"),
+        dollars("nat_aov").alias("nat_aov"),
         percent(F.col("aov") - F.col("nat_aov"), F.col("nat_aov")).alias("aov_vs_national_pct"),
         percent(F.col("revenue"), F.col("nation_revenue")).alias("revenue_share_pct"),
     ).orderBy(F.desc("revenue"), "state")
@@ -149,7 +156,6 @@ def store_scorecard(
             F.sum("line_count").alias("lines"),
         )
     )
-    revenue = dollars("cents")
     by_revenue = Window.orderBy(F.desc("cents"))
     return (
         star.stores.join(per_store, "store_id")
@@ -159,9 +165,9 @@ def store_scorecard(
             "city",
             F.col("store_size_sqm").cast("bigint").alias("store_size_sqm"),
             "orders",
-            revenue.alias("revenue"),
-            rounded_ratio(revenue, F.col("store_size_sqm"), 2).alias("revenue_per_sqm"),
-            rounded_ratio(revenue, F.col("orders"), 2).alias("aov"),
+            dollars("cents").alias("revenue"),
+            dollar_ratio(F.col("cents"), F.col("store_size_sqm")).alias("revenue_per_sqm"),
+            dollar_ratio(F.col("cents"), F.col("orders")).alias("aov"),
             rounded_ratio(F.col("units"), F.col("lines"), 1).alias("avg_qty_per_line"),
             F.dense_rank().over(by_revenue).cast("bigint").alias("revenue_rank"),
         )

@@ -29,7 +29,7 @@ from tillscope.functions.calendar import (
     quarters_between,
 )
 from tillscope.functions.labels import first_match
-from tillscope.functions.numbers import dollars, percent, rounded, rounded_ratio
+from tillscope.functions.numbers import dollar_ratio, dollars, percent, rounded_ratio
 from tillscope.functions.ordering import ntile_of, with_position
 from tillscope.functions.selection import middle_values
 from tillscope.plans.facts import customer_totals, kept_orders, order_facts
@@ -184,7 +184,7 @@ def rfm_segmentation(
         "customer_count",
         rounded_ratio(F.col("recency_days"), customers, 0).alias("avg_recency_days"),
         rounded_ratio(F.col("frequency"), customers, 1).alias("avg_frequency"),
-        rounded_ratio(dollars("monetary"), customers, 2).alias("avg_monetary"),
+        dollar_ratio(F.col("monetary"), customers).alias("avg_monetary"),
         dollars("monetary").alias("total_revenue"),
         percent(F.col("monetary"), F.col("everyone")).alias("revenue_share_pct"),
     ).orderBy(F.desc("total_revenue"), "rfm_segment")
@@ -204,7 +204,7 @@ def _lifetime_values(star: Star, excluded_status: str) -> DataFrame:
             days_between(F.col("first_order"), F.col("last_order")).alias("tenure_days"),
             F.col("orders").alias("lifetime_orders"),
             F.col("revenue").alias("lifetime_revenue"),
-            rounded_ratio(dollars("revenue"), F.col("lines"), 2).alias("avg_item_spend"),
+            dollar_ratio(F.col("revenue"), F.col("lines")).alias("avg_item_spend"),
         )
     )
 
@@ -268,8 +268,8 @@ def clv_distribution(
     return per_segment.select(
         "customer_segment",
         "customers",
-        rounded_ratio(dollars("revenue"), customers, 2).alias("avg_clv"),
-        rounded_ratio(dollars("central_sum"), F.lit(2), 2).alias("median_clv"),
+        dollar_ratio(F.col("revenue"), customers).alias("avg_clv"),
+        dollar_ratio(F.col("central_sum"), F.lit(2)).alias("median_clv"),
         rounded_ratio(F.col("orders"), customers, 1).alias("avg_orders"),
         rounded_ratio(F.col("tenure"), customers, 0).alias("avg_tenure_days"),
         "clv_under_50",
@@ -406,5 +406,5 @@ def purchase_gap(
         "gap_bucket",
         "occurrences",
         rounded_ratio(F.col("days"), F.col("occurrences"), 1).alias("avg_gap_days"),
-        rounded(F.col("median"), 1).alias("median_gap_days"),
+        rounded_ratio((F.col("median") * 2).cast("bigint"), F.lit(2), 1).alias("median_gap_days"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.fixed_values import SAMPLE_ROWS
@@ -38,11 +38,19 @@ def table_profile(star: Star) -> DataFrame:
 def table_sample(star: Star, table: str, rows: int | None = SAMPLE_ROWS) -> DataFrame:
     """The first rows of a table by key; every row with ``rows=None``.
 
-    Columns after the key only break ties between rows with equal keys.
+    Columns after the key only break ties between rows with equal keys. The ``rows`` first
+    keys are found when the plan is built, from the key columns alone; the scan of all
+    columns then skips what lies beyond the last of them.
     """
     frame = star.table(table)
     key = list(TABLES[table].key)
-    ordered = frame.orderBy(
-        *(F.asc_nulls_last(c) for c in key + [c for c in frame.columns if c not in key])
-    )
+
+    def by(columns: list[str]) -> list[Column]:
+        return [F.asc_nulls_last(c) for c in columns]
+
+    if rows is not None:
+        first = frame.select(*key).orderBy(*by(key)).limit(rows).collect()
+        if len(first) == rows and rows and first[-1][0] is not None:
+            frame = frame.where(F.col(key[0]) <= F.lit(first[-1][0]))
+    ordered = frame.orderBy(*by(key + [c for c in frame.columns if c not in key]))
     return ordered if rows is None else ordered.limit(rows)

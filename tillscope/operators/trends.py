@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillscope.fixed_values import BELOW_TREND, CANCELLED, ON_TREND, ROLLING_ROWS
 from tillscope.functions.calendar import quarter_start
-from tillscope.functions.numbers import dollars, percent, ratio, rounded
+from tillscope.functions.numbers import dollar_ratio, dollars, percent
 from tillscope.plans.facts import monthly_revenue, sold_orders
 from tillscope.sources.star import Star
 
@@ -76,13 +76,13 @@ def rolling_revenue(
         monthly_revenue(star, excluded_status)
         .withColumn("recent", F.sum("revenue").over(trailing))
         .withColumn("months", F.count("revenue").over(trailing))
-        .withColumn("mean", ratio(dollars("recent"), F.col("months")))
     )
-    below = F.col("revenue") * F.col("months") < F.col("recent")
+    # how far the month is above the mean, times the number of months
+    above = F.col("revenue") * F.col("months") - F.col("recent")
     return monthly.select(
         "month",
         dollars("revenue").alias("revenue"),
-        rounded(F.col("mean"), 2).alias("rolling_3m_avg"),
-        rounded(dollars("revenue") - F.col("mean"), 2).alias("deviation_from_rolling"),
-        F.when(below, BELOW_TREND).otherwise(ON_TREND).alias("trend_flag"),
+        dollar_ratio(F.col("recent"), F.col("months")).alias("rolling_3m_avg"),
+        dollar_ratio(above, F.col("months")).alias("deviation_from_rolling"),
+        F.when(above < 0, BELOW_TREND).otherwise(ON_TREND).alias("trend_flag"),
     ).orderBy("month")
