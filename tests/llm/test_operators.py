@@ -77,6 +77,13 @@ def test_jaccard_join_finds_the_components_of_all_pairs(spark):
     assert found == {i: (len(sets[i]), expected[i]) for i in sets}
 
 
+@pytest.mark.parametrize("percent", [50, 74, 101])
+def test_jaccard_join_refuses_similarities_it_would_lose_links_at(spark, percent):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="percent"):
+        ngram_jaccard(docs, percent=percent)
+
+
 def _base(text):
     words = WORD.findall(text or "")
     windows = {}

@@ -313,10 +313,11 @@ def ngram_jaccard(
     Null and empty texts have an empty set and link with nothing. Equal sets are one
     row of the product, so repeated rows and copies cost nothing. A null doc_id gives a null
     component and links nothing; rows that share a doc_id are documents of their own.
-    Other columns are dropped; an empty table gives an empty one. ``percent`` is 50 to 100.
+    Other columns are dropped; an empty table gives an empty one. ``percent`` is 75 to 100: the
+    sizes that split the two indexes are right for no smaller one.
     """
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must be from 50 to 100")
+    if not PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {PERCENT} to 100")
     source = docs.select(
         F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"),
         F.col(f"`{text}`").cast("string").alias("text"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillscope.llm.store import written
 from tillscope.llm.words import word_count
 
 #: weights dealt to the sources in code point order, null last, over and over
@@ -72,12 +73,13 @@ def mixed_counts(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
     hash of seed and doc_id; so rows that repeat an id are drawn alike, null ids too.
     A null source is a source. Sources without words get target 0 and no copies.
     Columns of these names are replaced, others pass through. The sums per source
-    are added up before they move; the documents move only if the table of sources
-    is too large to broadcast.
+    are added up before they move, and the table of sources is written first, so that its
+    size is known when the join is planned: the documents move only if it is too large to
+    broadcast.
     """
     mine = ("size", "source_size", "target", "rate", "copies")
     sized = docs.drop(*mine).withColumn("size", word_count(F.col("text")))
-    targets = source_targets(sized.select("source", "size"), **shares)
+    targets = written(source_targets(sized.select("source", "size"), **shares), "mix-targets")
     targets = targets.withColumnRenamed("source", "__mix_source")
     joined = sized.join(targets, sized["source"].eqNullSafe(targets["__mix_source"]), "left")
     whole = F.floor("rate")
