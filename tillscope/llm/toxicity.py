@@ -156,13 +156,16 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
     labels_ = np.asarray(labels, np.int64)
     grams = rng.uniform(-1, 1, (settings.buckets, settings.width)) / settings.width
     model = Model(grams.astype(np.float32), np.zeros(settings.width), 0.0, 1.0, 0.0, settings)
-    docs = [text_words(text) for text in texts]
-    if len(set(labels)) < 2 or not any(docs):
+    vocabulary: dict[str, int] = {}
+    # a text's words are held as numbers only
+    ids = [
+        np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text_words(text)], int)
+        for text in texts
+    ]
+    if len(set(labels)) < 2 or not vocabulary:
         model.slope = 0.0
         model.shift = 20.0 if labels and min(labels) == 1 else -20.0
         return model
-    vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d], int) for d in docs]
     words = list(vocabulary)
     sizes = np.array([len(d) for d in ids])
     flat = np.concatenate(ids)
@@ -304,14 +307,35 @@ def _pieces(texts: list, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+_FITTED = "grams binary, weights binary, bias double, slope double, shift double"
+_FITTED_NAMES = [part.split()[0] for part in _FITTED.split(", ")]
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """Fit on a bounded, hash-chosen sample of ``docs`` (doc_id, text) that ``labels``
-    (doc_id, label) calls 0 or 1; other labels are ignored."""
+    (doc_id, label) calls 0 or 1; other labels are ignored.
+
+    One executor task reads the sample, at most ``per_label`` texts of each label, and
+    trains; only the model, of fixed size, comes to the driver.
+    """
     settings = settings or Settings()
     known = labels.where(F.col("label").isin(0, 1))
     sample = labelled_sample(docs, known, settings.per_label, settings.longest_text)
-    rows = sample.orderBy("label", "rank").collect()  # at most 2 * per_label texts
-    return train([r["text"] for r in rows], [int(r["label"]) for r in rows], settings)
+
+    def learn(texts: pa.Table) -> pa.Table:
+        rows = texts.sort_by([("label", "ascending"), ("rank", "ascending")])
+        model = train(rows["text"].to_pylist(), rows["label"].to_pylist(), settings)
+        fields = (model.grams.tobytes(), model.weights.tobytes(), model.bias, model.slope, model.shift)
+        return pa.table({name: [x] for name, x in zip(_FITTED_NAMES, fields, strict=True)})
+
+    texts = sample.select(F.col("label").cast("int").alias("label"), "rank", "text")
+    fitted = texts.groupBy(F.lit(0)).applyInArrow(learn, _FITTED).collect()
+    if not fitted:
+        return train([], [], settings)
+    row = fitted[0]
+    grams = np.frombuffer(row["grams"], np.float32).reshape(settings.buckets, settings.width)
+    weights = np.frombuffer(row["weights"], np.float64)
+    return Model(grams, weights, row["bias"], row["slope"], row["shift"], settings)
 
 
 def score_toxicity(
