@@ -329,7 +329,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None =
         return pa.table({name: [x] for name, x in zip(_FITTED_NAMES, fields, strict=True)})
 
     texts = sample.select(F.col("label").cast("int").alias("label"), "rank", "text")
-    fitted = texts.groupBy(F.lit(0)).applyInArrow(learn, _FITTED).collect()
+    fitted = texts.groupBy().applyInArrow(learn, _FITTED).collect()
     if not fitted:
         return train([], [], settings)
     row = fitted[0]
