@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 
 from tillscope.llm.itq import itq_near_duplicates
+from tillscope.llm import jaccard
+from tillscope.llm import jaccard
 from tillscope.llm.jaccard import ngram_jaccard
 from tillscope.llm.mixing import mixed_counts
 from tillscope.llm.packing import Capacity, plan_sequences
@@ -61,19 +63,41 @@ def _near_texts():
     return texts
 
 
-def test_jaccard_join_finds_the_components_of_all_pairs(spark):
-    texts = _near_texts()
-    rows = [(i * 3 + 1, t, "x") for i, t in enumerate(texts)]
+def _loose_texts():
+    """Families whose members are about as far apart as the bound, and a passage in all texts."""
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(900)]
+    passage = " ".join(draw.choices(words, k=60))
+    texts = []
+    for size in (60, 300, 330, 1500):
+        base = draw.choices(words, k=size)
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(draw.randint(0, size // 18)):
+                copy[draw.randrange(size)] = draw.choice(words)
+            texts.append(" ".join(copy) + " " + passage)
+    for _ in range(60):
+        texts.append(" ".join(draw.choices(words, k=draw.randint(5, 120))) + " " + passage)
+    return texts + texts[::7]
+
+
+@pytest.mark.parametrize(
+    "make, tile, percent",
+    [(_near_texts, 1024, 75), (_loose_texts, 1024, 75), (_loose_texts, 8, 75), (_loose_texts, 8, 90), (_near_texts, 8, 100)],
+)
+def test_jaccard_join_finds_the_components_of_all_pairs(spark, monkeypatch, make, tile, percent):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rows = [(i * 3 + 1, t, "x") for i, t in enumerate(make())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_shingles string")
     sets = {i: _shingles(t) for i, t, _ in rows}
     linked = [
         (a, b)
         for a in sets
         for b in sets
-        if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+        if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
     ]
     expected = _classes(list(sets), linked)
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard(docs).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard(docs, percent=percent).collect()}
     assert found == {i: (len(sets[i]), expected[i]) for i in sets}
 
 

@@ -9,8 +9,11 @@ size and count show that the full overlap cannot reach the bound; the rest are c
 on the whole sets.
 
 Components need no product entry inside a component. So blocks are first multiplied
-with one leader row each, and only rows of different components are then multiplied
-with one another. A group of near copies costs about its size, not its square.
+with one leader row each. Blocks that then still hold several components are gathered by
+their largest one, so that sets which share a hundred shingles meet once and not a hundred
+times, and are multiplied in tiles of bounded size on incidence rows folded to a few bits
+a shingle, which bound every overlap from above. What passes is counted on the whole sets:
+first the closest pair of each two components, then all pairs of those that are still apart.
 """
 
 from __future__ import annotations
@@ -38,9 +41,12 @@ _LOW_BOUND = int(LOW * (1 << 64)) - (1 << 63)
 #: rows of a task looked at together for shingles so frequent that they are dealt out
 _ROWS = 1 << 20
 _SALTS = 64
-_LEADER_ROUNDS = 2
-#: longs of a set's bitmap, see _bitmap
-_BITMAP = 8
+#: sets on either side of a tile
+TILE = 1024
+#: bits of a set's bitmap a shingle, and the fewest and most, powers of two; see _bitmap
+_BITS, _FEWEST_BITS, _MOST_BITS = 4, 512, 1 << 16
+#: pairs whose bitmaps are compared at once
+_COMPARED = 1 << 15
 
 _SIGNATURE = "doc_id bigint, n_shingles bigint, node bigint"
 _POSTING = "shingle bigint, salt int, node bigint, sizes bigint"
@@ -174,14 +180,25 @@ def _similar_sizes(percent: int) -> Column:
     return F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
 
 
-def _bitmap(own: np.ndarray) -> np.ndarray:
-    """The parity of how many of a set's shingles fall on each of 64 * _BITMAP places.
+def _bitmap(own: np.ndarray) -> bytes:
+    """The parity of how many of a set's shingles fall on each of a power of two of places.
 
-    Two bitmaps differ in at most as many places as their sets differ in shingles.
+    Two bitmaps of one length differ in at most as many places as their sets differ in
+    shingles. The halves of a longer one, XOR-ed, are that of half the length.
     """
-    places = own.view(np.uint64) >> np.uint64(7)
-    counts = np.bincount((places % np.uint64(64 * _BITMAP)).astype(np.int64), minlength=64 * _BITMAP)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+    size = _FEWEST_BITS
+    while size < min(_BITS * len(own), _MOST_BITS):
+        size *= 2
+    places = (own.view(np.uint64) >> np.uint64(7)) % np.uint64(size)
+    counts = np.bincount(places.astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    while bitmaps.shape[1] > words:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] ^ bitmaps[:, half:]
+    return bitmaps
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -200,37 +217,41 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [
                         pa.array([node for node, _ in found], pa.int64()),
                         pa.array([own for _, own in found], pa.list_(pa.int64())),
-                        pa.array([_bitmap(own) for _, own in found], pa.list_(pa.int64())),
+                        pa.array([_bitmap(own) for _, own in found], pa.binary()),
                     ],
                     names=["node", "hashes", "bits"],
                 )
 
     texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text")
-    return texts.mapInArrow(emit, "node bigint, hashes array<bigint>, bits array<bigint>")
+    return texts.mapInArrow(emit, "node bigint, hashes array<bigint>, bits binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v of the ``pairs`` whose whole sets overlap enough."""
-    left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("left"))
-    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("right"))
+    """u, v of the ``pairs`` whose whole sets overlap enough.
+
+    Pairs are written first: while they are few, Spark sends them to the sets, and only
+    sets that a pair asks for move.
+    """
+    pairs = written(pairs, "jaccard-pairs")
+    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("left")), "u")
+    right = pairs.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("right")), "v")
     common = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - common
-    return pairs.join(left, "u").join(right, "v").where(common * 100 >= union * percent).select("u", "v")
+    return left.join(right, ["u", "v"]).where(common * 100 >= union * percent).select("u", "v")
 
 
-def _leader_pairs(rows: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Each row's best leader of another component: u, v.
+def _leader_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Each set's best leader: u, v.
 
-    A leader is one set per shingle and class of sizes.
+    A leader is one set per shingle and class of sizes, as wide as 4 : 3.
     """
-    sized = rows.withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
-    order = F.xxhash64("node", F.lit(seed))
+    sized = rows.withColumn("class", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
     leaders = sized.groupBy("shingle", "class").agg(
-        F.min(F.struct(order.alias("o"), "node", "component", "n", "p")).alias("leader")
+        F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n", "p")).alias("leader")
     )
     met = (
         sized.join(leaders, ["shingle", "class"])
-        .where("component <> leader.component")
+        .where("node <> leader.node")
         .groupBy("node", "n", "p", F.col("leader.node").alias("v"))
         .agg(
             F.count("*").alias("common"),
@@ -243,61 +264,134 @@ def _leader_pairs(rows: DataFrame, seed: int, percent: int) -> DataFrame:
     return best.select(F.col("node").alias("u"), F.col("best.v").alias("v"))
 
 
-def _mixed_blocks(rows: DataFrame) -> DataFrame:
-    """Rows of shingles that sets of several components have, with the largest one."""
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the component of their node, itself where it has no link."""
+    found = components(links).withColumnRenamed("node", "linked")
+    joined = rows.drop("component").join(found, F.col("node") == F.col("linked"), "left")
+    return joined.withColumn("component", F.coalesce("component", "node")).drop("linked")
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """major, node, n: once each, the sets of blocks of several components, by a block's largest one."""
     counted = rows.groupBy("shingle", "component").agg(F.count("*").alias("k"))
     blocks = counted.groupBy("shingle").agg(
         F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("several")
     )
-    return rows.join(blocks.where("several > 1").select("shingle", "top.component"
-        ).withColumnRenamed("component", "major"), "shingle")
-
+    mixed_blocks = blocks.where("several > 1").select("shingle", F.col("top.component").alias("major"))
+    return rows.join(mixed_blocks, "shingle").select("major", "node", "n").distinct()
 
-def _cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that counts and bitmaps do not rule out: u, v.
 
-    Bitmaps bound the overlap from above while a block is multiplied, so sets that share
-    only a common line or passage are dropped before they become rows.
-    """
-    maps = [F.col("bits")[k].alias(f"b{k}") for k in range(_BITMAP)]
-    rows = rows.join(sets.select("node", *maps).dropDuplicates(["node"]), "node")
-    other = rows.select(
-        "shingle",
-        F.col("node").alias("v"),
-        F.col("n").alias("n2"),
-        F.col("p").alias("p2"),
-        F.col("component").alias("component2"),
-        *(F.col(f"b{k}").alias(f"c{k}") for k in range(_BITMAP)),
-    )
-    apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in range(_BITMAP)), F.lit(0))
-    needed = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
-    minor = rows.where("component <> major")
-    met = minor.join(
-        other,
-        (minor["shingle"] == other["shingle"])
-        & (minor["component"] != other["component2"])
-        & ((other["component2"] == minor["major"]) | (minor["node"] < other["v"]))
-        & _similar_sizes(percent)
-        & (F.col("n") + F.col("n2") - apart >= 2 * needed),
-    )
-    # a pair meets in either order, as the largest component differs by block
-    return (
-        met.groupBy(
-            F.least("node", "v").alias("u"),
-            F.greatest("node", "v").alias("w"),
-            (F.col("n") + F.col("n2")).alias("both"),
-            F.greatest(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")).alias("rest"),
+def _tiles(gathered: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of the tiles (major, i, j): on the left all sets but those of the widest component, on
+    the right all sets of one ``major``. Sets of one component only leave."""
+    counted = gathered.groupBy("major", "component").agg(F.count("*").alias("k"))
+    shape = (
+        counted.groupBy("major")
+        .agg(
+            F.max(F.struct("k", "component")).alias("top"),
+            F.sum("k").alias("held"),
+            F.count("*").alias("several"),
+        )
+        .where("several > 1")
+        .select(
+            "major",
+            F.col("top.component").alias("widest"),
+            F.ceil((F.col("held") - F.col("top.k")) / TILE).alias("lefts"),
+            F.ceil(F.col("held") / TILE).alias("rights"),
         )
-        .agg(F.count("*").alias("common"))
-        .where(F.col("common") + F.col("rest") >= F.ceil(F.col("both") * percent / (100 + percent)))
-        .select("u", F.col("w").alias("v"))
+    )
+    bits = sets.select("node", "bits").dropDuplicates(["node"])
+    placed = (
+        gathered.join(shape, "major")
+        .join(bits, "node")
+        .withColumn("wide", F.col("component") == F.col("widest"))
+        .withColumn("slot", F.xxhash64("node"))
     )
 
+    def side(rows: DataFrame, own: str, count: str, other: str, others: str, left: bool) -> DataFrame:
+        return rows.select(
+            "major",
+            "node",
+            "n",
+            "component",
+            "bits",
+            "wide",
+            F.lit(left).alias("left"),
+            F.expr(f"pmod(slot, {count})").alias(own),
+            F.explode(F.expr(f"sequence(0L, {others} - 1)")).alias(other),
+        )
 
-def _labelled(index: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links).withColumnRenamed("node", "linked")
-    joined = index.drop("component").join(found, F.col("node") == F.col("linked"), "left")
-    return joined.withColumn("component", F.coalesce("component", "node")).drop("linked", "major")
+    lefts = side(placed.where("not wide"), "i", "lefts", "j", "rights", True)
+    return lefts.unionByName(side(placed, "j", "rights", "i", "lefts", False))
+
+
+def _multiplied(percent: int, closest: bool):
+    """The pairs of one tile that sizes and bitmaps do not rule out."""
+
+    def parted(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+        """Nodes, sizes, components, whether widest, and bitmaps, of each length of bitmaps."""
+        columns = [table.column(c).to_numpy() for c in ("node", "n", "component", "wide")]
+        bits = table.column("bits").to_pylist()
+        lengths = np.array([len(b) for b in bits], np.int64)
+        for length in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == length)
+            maps = np.frombuffer(b"".join(bits[k] for k in at), "<u8").reshape(len(at), -1)
+            yield *(c[at] for c in columns), maps
+
+    def pairs(left: tuple, right: tuple) -> Iterator[tuple[np.ndarray, ...]]:
+        node, n, component, _, maps = left
+        node2, n2, component2, wide2, maps2 = right
+        words = min(maps.shape[1], maps2.shape[1])
+        maps, maps2 = _folded(maps, words), _folded(maps2, words)
+        few = _FEWEST_BITS // 64
+        short, short2 = _folded(maps, few), _folded(maps2, few)
+        step = max(1, _COMPARED // len(node2))
+        for a in range(0, len(node), step):
+            own = slice(a, a + step)
+            both = n[own, None] + n2
+            spare = both - 2 * -(-both * percent // (100 + percent))
+            fits = np.minimum(n[own, None], n2) * 100 >= np.maximum(n[own, None], n2) * percent
+            fits &= component[own, None] != component2
+            fits &= wide2 | (node[own, None] < node2)
+            if not fits.any():
+                continue
+            apart = np.bitwise_count(short[own, None] ^ short2).sum(2, dtype=np.int64)
+            i, j = np.nonzero(fits & (apart <= spare))
+            for b in range(0, len(i), 1 << 12):
+                i2, j2 = i[b : b + (1 << 12)], j[b : b + (1 << 12)]
+                far = np.bitwise_count(maps[a + i2] ^ maps2[j2]).sum(1, dtype=np.int64)
+                ok = far <= spare[i2, j2]
+                i2, j2, far = i2[ok] + a, j2[ok], far[ok]
+                yield node[i2], node2[j2], component[i2], component2[j2], far / (n[i2] + n2[j2])
+
+    def tile(table: pa.Table) -> pa.Table:
+        side = table.column("left").to_numpy()
+        lefts = list(parted(table.filter(pa.array(side))))
+        rights = list(parted(table.filter(pa.array(~side))))
+        found = [[], [], [], [], []]
+        for left in lefts:
+            for right in rights:
+                if max(left[4].shape[1], right[4].shape[1]) > 2 * min(left[4].shape[1], right[4].shape[1]):
+                    continue  # more than twice the bits, too different in size
+                for part in pairs(left, right):
+                    for column, values in zip(found, part, strict=True):
+                        column.append(values)
+        u, v, one, two, far = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in found)
+        if closest and len(u):
+            low, high = np.minimum(one, two), np.maximum(one, two)
+            order = np.lexsort((v, u, far, high, low))
+            first = np.ones(len(order), bool)
+            first[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+            u, v = u[order[first]], v[order[first]]
+        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+
+    return tile
+
+
+def _tile_pairs(gathered: DataFrame, sets: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """u, v of different components that may link: all, or the ``closest`` of two components in a tile."""
+    tiles = _tiles(gathered, sets).groupBy("major", "i", "j")
+    return tiles.applyInArrow(_multiplied(percent, closest), "u bigint, v bigint").distinct()
 
 
 def ngram_jaccard(
@@ -335,16 +429,13 @@ def ngram_jaccard(
     wanted = index.select("node").distinct().join(nodes, "node")
     sets = written(_sets(source, wanted), "jaccard-sets")
 
-    rows = index.withColumn("component", F.col("node"))
-    links = None
-    for seed in range(_LEADER_ROUNDS):
-        pairs = _leader_pairs(rows, seed, percent)
-        found = _verified(pairs, sets, percent)
-        found = found if links is None else links.union(found)
-        links = written(found, "jaccard-links")
-        rows = written(_mixed_blocks(_labelled(index, links)), "jaccard-rows")
-    last = _verified(_cross_pairs(rows, sets, percent), sets, percent)
-    joined = components(links.union(last))
+    links = written(_verified(_leader_pairs(index, percent), sets, percent), "jaccard-links")
+    gathered = written(_gathered(_labelled(index, links)), "jaccard-gathered")
+    for closest in (True, False):
+        labelled = written(_labelled(gathered, links), "jaccard-labelled")
+        found = _verified(_tile_pairs(labelled, sets, percent, closest), sets, percent)
+        links = written(links.union(found), "jaccard-links")
+    joined = components(links)
     labels = joined.join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("label"))
     known = nodes.join(joined.join(labels, "component").select("node", "label"), "node", "left")
     known = known.select("node", F.coalesce("label", "doc_id").alias("component_id"))
