@@ -13,7 +13,8 @@ with one leader row each. Blocks that then still hold several components are gat
 their largest one, so that sets which share a hundred shingles meet once and not a hundred
 times, and are multiplied in tiles of bounded size on incidence rows folded to a few bits
 a shingle, which bound every overlap from above. What passes is counted on the whole sets:
-first the closest pair of each two components, then all pairs of those that are still apart.
+first, of each tile, a spanning forest of the closest pairs of two components, fewer than
+the tile has rows; in the end all pairs of components that are still apart.
 """
 
 from __future__ import annotations
@@ -325,6 +326,29 @@ def _tiles(gathered: DataFrame, sets: DataFrame) -> DataFrame:
     return lefts.unionByName(side(placed, "j", "rights", "i", "lefts", False))
 
 
+def _forest(one: np.ndarray, two: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of links between ``one`` and ``two``, a spanning forest of those that come first in ``order``."""
+    names, ends = np.unique(np.concatenate([one, two]), return_inverse=True)
+    a, b = ends[: len(one)][order], ends[len(one) :][order]
+    tree, kept = np.arange(len(names)), []
+    while True:
+        open_ = np.flatnonzero(tree[a] != tree[b])
+        if not len(open_):
+            return np.concatenate([order[k] for k in kept]) if kept else order[:0]
+        pairs = np.stack([tree[a[open_]], tree[b[open_]]], 1)
+        trees, first = np.unique(pairs.ravel(), return_index=True)
+        chosen = first // 2
+        kept.append(open_[np.unique(chosen)])
+        parent = np.arange(len(names))
+        parent[trees] = pairs[chosen].sum(1) - trees
+        # links have one order, so trees that chose each other are the only cycles
+        mutual = (parent[parent] == np.arange(len(names))) & (np.arange(len(names)) < parent)
+        parent[mutual] = np.flatnonzero(mutual)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        tree = parent[tree]
+
+
 def _multiplied(percent: int, closest: bool):
     """The pairs of one tile that sizes and bitmaps do not rule out."""
 
@@ -378,18 +402,15 @@ def _multiplied(percent: int, closest: bool):
                         column.append(values)
         u, v, one, two, far = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in found)
         if closest and len(u):
-            low, high = np.minimum(one, two), np.maximum(one, two)
-            order = np.lexsort((v, u, far, high, low))
-            first = np.ones(len(order), bool)
-            first[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
-            u, v = u[order[first]], v[order[first]]
+            kept = _forest(one, two, np.lexsort((v, u, far)))
+            u, v = u[kept], v[kept]
         return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
 
     return tile
 
 
 def _tile_pairs(gathered: DataFrame, sets: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """u, v of different components that may link: all, or the ``closest`` of two components in a tile."""
+    """u, v of different components that may link: all, or of each tile a forest of the ``closest``."""
     tiles = _tiles(gathered, sets).groupBy("major", "i", "j")
     return tiles.applyInArrow(_multiplied(percent, closest), "u bigint, v bigint").distinct()
 
