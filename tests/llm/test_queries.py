@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from tillscope.llm.queries import QUERIES
 from tillscope.llm.queries_sql import SQL
+from tillscope.llm.tokens import Tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,6 +47,18 @@ def _crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+@pytest.mark.parametrize("vocabulary, kind", [("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")])
+def test_ids_are_those_of_the_library_also_around_marks(vocabulary, kind):
+    coder = Tokenizer.from_file(str(public_tokenizers.path(vocabulary)))
+    ours = Tokens(str(public_tokenizers.path(vocabulary)), kind)
+    texts = ["", "a b  c", "It's 1 2\n\nß", "ok \u2028 x"]
+    for mark in ("<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"):
+        texts += [mark, f"a {mark} b", f"A{mark}{mark}b c", f"<|{mark}", f"x\n {mark[:-1]}"]
+    for text in texts * 2:
+        expected = coder.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ours.encode(text), "<u2").tolist() == expected, text
+
+
 def test_token_store_gives_back_every_id(spark):
     start, expected = 0, {}
     for i, ids in _encoded("byte_bpe_50k.json", 2).items():

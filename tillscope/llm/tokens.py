@@ -3,7 +3,7 @@
 The library spends most of its time on words it has met before. Here a text is cut
 into the pieces that the vocabulary's own pre-tokenizer would cut, new pieces go to
 the library, and their ids are kept. Cutting is left to the library itself for every
-text with a character outside a range where both cut alike.
+text with a character outside a range where both cut alike, or with an added token.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # marks such as <|endoftext|> inside a text are ordinary text
-        self.tokenizer.encode_special_tokens = True
+        # marks such as <|endoftext|> inside a text get their own id, as the library has it
+        self.marks = [mark.content for mark in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         self.kind, self.known = kind, {}
@@ -58,7 +58,7 @@ class Tokens:
         """Ids of one text; none for a null or empty one."""
         if not text:
             return b""
-        if _UNSAFE.search(text):
+        if _UNSAFE.search(text) or any(mark in text for mark in self.marks):
             return self._library([text])[0]
         if self.kind == "words":
             text = text.lower()
