@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tillscope.llm.components import components
 from tillscope.llm.shingles import mixed, set_key, shingle_sets
 from tillscope.llm.store import written
-from tillscope.llm.tokens import text_batches
+from tillscope.llm.tokens import text_parts
 
 #: two sets link when 100 * overlap >= PERCENT * union
 PERCENT = 75
@@ -40,7 +40,7 @@ SMALL_MOST, SMALL_LEAST = 96, 72
 LOW = 0.4
 _LOW_BOUND = int(LOW * (1 << 64)) - (1 << 63)
 #: rows of a task looked at together for shingles so frequent that they are dealt out
-_ROWS = 1 << 20
+_ROWS = 1 << 19
 _SALTS = 64
 #: sets on either side of a tile
 TILE = 1024
@@ -56,9 +56,10 @@ _POSTING = "shingle bigint, salt int, node bigint, sizes bigint"
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids and shingle sets of a few documents at a time."""
     for batch in batches:
-        names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in text_batches(texts, 1 << 19):
-            yield names[a:b], shingle_sets(texts[a:b])
+        names = batch.column(0).to_pylist()
+        for a, b, texts in text_parts(batch.column(1)):
+            yield names[a:b], shingle_sets(texts)
+    pa.default_memory_pool().release_unused()  # the worker lives on beside the next stage
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +208,11 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_batches(texts, 1 << 19):
+            asked = batch.column(0).to_pylist()
+            for a, b, texts in text_parts(batch.column(1)):
                 found = [
                     (node, own)
-                    for node, own in zip(asked[a:b], shingle_sets(texts[a:b]), strict=True)
+                    for node, own in zip(asked[a:b], shingle_sets(texts), strict=True)
                     if len(own) and set_key(own) == node
                 ]
                 yield pa.RecordBatch.from_arrays(

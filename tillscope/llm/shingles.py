@@ -8,7 +8,7 @@ import numpy as np
 
 #: words of a shingle
 WORDS = 5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = np.uint64(0xD1342543DE82EF95)
 

@@ -14,6 +14,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
@@ -106,14 +108,17 @@ def tokens(path: str, kind: str) -> Tokens:
     return Tokens(path, kind)
 
 
-def text_batches(texts: list[str | None], chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``chars`` characters; one long text is its own range."""
+def text_parts(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of a column of about ``most`` bytes with their texts; one long text is its own range.
+
+    Only one range is held as Python strings at a time.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     begin = held = 0
-    for i, text in enumerate(texts):
-        size = len(text or "")
-        if held and held + size > chars:
-            yield begin, i
+    for i, size in enumerate(sizes):
+        if held and held + size > most:
+            yield begin, i, column.slice(begin, i - begin).to_pylist()
             begin, held = i, 0
         held += size
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes), column.slice(begin).to_pylist()

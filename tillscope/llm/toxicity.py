@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tillscope.llm.sampling import labelled_sample
+from tillscope.llm.tokens import text_parts
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -295,18 +296,6 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def _pieces(texts: list, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about a million characters; one long text is its own range."""
-    begin = held = 0
-    for i, text in enumerate(texts):
-        if held and held + len(text or "") > chars:
-            yield begin, i
-            begin, held = i, 0
-        held += len(text or "")
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 _FITTED = "grams binary, weights binary, bias double, slope double, shift double"
 _FITTED_NAMES = [part.split()[0] for part in _FITTED.split(", ")]
 
@@ -326,6 +315,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None =
         rows = texts.sort_by([("label", "ascending"), ("rank", "ascending")])
         model = train(rows["text"].to_pylist(), rows["label"].to_pylist(), settings)
         fields = (model.grams.tobytes(), model.weights.tobytes(), model.bias, model.slope, model.shift)
+        del texts, rows
+        pa.default_memory_pool().release_unused()
         return pa.table({name: [x] for name, x in zip(_FITTED_NAMES, fields, strict=True)})
 
     texts = sample.select(F.col("label").cast("int").alias("label"), "rank", "text")
@@ -360,11 +351,11 @@ def score_toxicity(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            parts = [scorer.scores(texts[a:b]) for a, b in _pieces(texts)]
+            parts = [scorer.scores(texts) for _, _, texts in text_parts(batch.columns[-1])]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             columns = batch.columns if keep_text else batch.columns[:-1]
             columns += [pa.array(scores), pa.array((scores >= 0.5).astype("int32"))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker lives on beside the next stage
 
     return source.mapInArrow(score, schema)
