@@ -40,7 +40,7 @@ SMALL_MOST, SMALL_LEAST = 96, 72
 LOW = 0.4
 _LOW_BOUND = int(LOW * (1 << 64)) - (1 << 63)
 #: rows of a task looked at together for shingles so frequent that they are dealt out
-_ROWS = 1 << 19
+_ROWS = 1 << 17
 _SALTS = 64
 #: sets on either side of a tile
 TILE = 1024
@@ -59,7 +59,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[n
         names = batch.column(0).to_pylist()
         for a, b, texts in text_parts(batch.column(1)):
             yield names[a:b], shingle_sets(texts)
-    pa.default_memory_pool().release_unused()  # the worker lives on beside the next stage
+        pa.default_memory_pool().release_unused()  # the worker lives on beside the next stage
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
