@@ -30,6 +30,7 @@ from tillscope.llm.components import components
 from tillscope.llm.shingles import mixed, set_key, shingle_sets
 from tillscope.llm.store import written
 from tillscope.llm.tokens import text_parts
+from tillscope.llm.workers import give_back, turn_to
 
 #: two sets link when 100 * overlap >= PERCENT * union
 PERCENT = 75
@@ -55,11 +56,12 @@ _POSTING = "shingle bigint, salt int, node bigint, sizes bigint"
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids and shingle sets of a few documents at a time."""
+    turn_to("jaccard")
     for batch in batches:
         names = batch.column(0).to_pylist()
         for a, b, texts in text_parts(batch.column(1)):
             yield names[a:b], shingle_sets(texts)
-        pa.default_memory_pool().release_unused()  # the worker lives on beside the next stage
+        give_back()  # the worker lives on beside the next stage
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +209,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, hashes (the whole set) and bits of the documents in ``wanted`` (doc_id, node)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("jaccard")
         for batch in batches:
             asked = batch.column(0).to_pylist()
             for a, b, texts in text_parts(batch.column(1)):
@@ -223,6 +226,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     ],
                     names=["node", "hashes", "bits"],
                 )
+            give_back()
 
     texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text")
     return texts.mapInArrow(emit, "node bigint, hashes array<bigint>, bits binary")
@@ -405,6 +409,8 @@ def _multiplied(percent: int, closest: bool):
         if closest and len(u):
             kept = _forest(one, two, np.lexsort((v, u, far)))
             u, v = u[kept], v[kept]
+        del lefts, rights, found
+        give_back()
         return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
 
     return tile

@@ -8,7 +8,6 @@ text with a character outside a range where both cut alike, or with an added tok
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from collections.abc import Iterator
@@ -17,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tillscope.llm.workers import kept
+
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
 #: outside of these a text goes to the library whole
@@ -102,10 +103,9 @@ class Tokens:
                 begin = stop
 
 
-@functools.cache
 def tokens(path: str, kind: str) -> Tokens:
-    """One tokenizer per worker process, kept between tasks with what it learned."""
-    return Tokens(path, kind)
+    """One tokenizer per worker process, kept between its tasks with what it learned."""
+    return kept(f"tokens {kind} {path}", lambda: Tokens(path, kind))
 
 
 def text_parts(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, list[str | None]]]:

@@ -21,6 +21,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tillscope.llm.sampling import labelled_sample
 from tillscope.llm.tokens import text_parts
+from tillscope.llm.workers import give_back, turn_to
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -312,11 +313,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None =
     sample = labelled_sample(docs, known, settings.per_label, settings.longest_text)
 
     def learn(texts: pa.Table) -> pa.Table:
+        turn_to("toxicity")
         rows = texts.sort_by([("label", "ascending"), ("rank", "ascending")])
         model = train(rows["text"].to_pylist(), rows["label"].to_pylist(), settings)
         fields = (model.grams.tobytes(), model.weights.tobytes(), model.bias, model.slope, model.shift)
         del texts, rows
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.table({name: [x] for name, x in zip(_FITTED_NAMES, fields, strict=True)})
 
     texts = sample.select(F.col("label").cast("int").alias("label"), "rank", "text")
@@ -349,6 +351,7 @@ def score_toxicity(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("toxicity")
         scorer = Scorer(shared.value)
         for batch in batches:
             parts = [scorer.scores(texts) for _, _, texts in text_parts(batch.columns[-1])]
@@ -356,6 +359,6 @@ def score_toxicity(
             columns = batch.columns if keep_text else batch.columns[:-1]
             columns += [pa.array(scores), pa.array((scores >= 0.5).astype("int32"))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-            pa.default_memory_pool().release_unused()  # the worker lives on beside the next stage
+            give_back()  # the worker lives on beside the next stage
 
     return source.mapInArrow(score, schema)
