@@ -96,12 +96,15 @@ def test_languages_of_held_out_documents(spark):
     assert sum(judged) >= 0.9 * len(judged)
 
 
-def test_toxic_documents_score_higher(spark):
-    labels = dict(duckdb.sql(f"SELECT doc_id, toxic FROM {_table('labels')}").fetchall())
-    found = QUERIES["op6_subword_toxicity"](spark, SF).collect()
+def test_toxic_documents_that_were_not_learned_score_higher(spark):
+    """On the largest given tables; the smaller ones hold out a handful of toxic documents."""
+    large = "/root/testdata/sf0.1"
+    labels = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{large}/labels.parquet'").fetchall())
+    found = QUERIES["op6_subword_toxicity"](spark, large).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
-    known = [(r.score, labels[r.doc_id]) for r in found if labels.get(r.doc_id) is not None]
+    judged = [r for r in found if r.held_out and labels.get(r.doc_id) is not None]
+    known = [(r.score, labels[r.doc_id]) for r in judged]
     toxic, clean = ([s for s, y in known if y == side] for side in (1, 0))
     wins = sum((a > b) + (a == b) / 2 for a in toxic for b in clean)
     assert wins >= 0.9 * len(toxic) * len(clean)
