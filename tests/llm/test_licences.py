@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tillscope.llm.licences import TEMPLATES, Settings, fit_licences, licence_scan
+from tillscope.llm.licences import TEMPLATES, Settings, _calibrated, fit_licences, licence_scan
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "so", "ta", "vi") for b in ("den", "lar", "mos", "pit", "ran", "tul")]
 
@@ -60,3 +60,27 @@ def test_empty_tables(spark, model):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert licence_scan(empty, model).count() == 0
     assert licence_scan(empty, fit_licences(empty)).count() == 0
+
+
+def test_the_whole_background_is_learned_from(spark):
+    """Long paragraphs count too, and shares of words are those of all paragraphs."""
+    draw = random.Random(5)
+    often = ["hereby", "mozilla", "creative", "bsd", "waived", "mit", "fee", "affero", "isc", "lesser"]
+    lines = [" ".join([*draw.choices(WORDS, k=5), str(i + 100)]) for i in range(400)]
+    lines = [f"{x} {often[i % 10]}" if i % 20 < 10 else x for i, x in enumerate(lines)]
+    for i in range(60):
+        lines[20 * (i % 20) + 10 + i // 20] += " " + " ".join([*draw.choices(WORDS, k=400), "redistribute"])
+    docs = spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string")
+    words = fit_licences(docs, Settings(background=10)).words  # common: in 20 of the 400
+    assert not {*often, "redistribute"} & set(words)
+    assert {"gpl", "apache", "noncommercial"} <= set(words)
+
+
+def test_threshold_is_the_probability_that_too_many_reach(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice([0.2, 0.5, 0.9, 1.0, draw.random()]), draw.randint(1, 9)) for _ in range(300)]
+    alarms = spark.createDataFrame(rows, "probability double, n long")
+    each = sorted((p for p, n in rows for _ in range(n) if p >= 0.5), reverse=True)
+    for allowed in (0, 1, 17, len(each) - 1):
+        assert _calibrated(alarms, allowed) == each[allowed]
+    assert _calibrated(alarms, len(each)) == _calibrated(alarms.limit(0), 0) == 0.5

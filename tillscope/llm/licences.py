@@ -14,14 +14,15 @@ from dataclasses import dataclass, replace
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.llm.store import written
 
 UNKNOWN = "unknown"
 _TOKEN = "[a-z0-9]+"
-_HASH_SPACE = 1 << 30
+_PROBABILITY_BITS = 53  # a double from 0.5 to 1 is a whole number of 2 ** -53
+_DIGITS = (40, 27, 14, 0)  # places of such a number at which its digits begin
 
 # How works commonly state these licences.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -63,8 +64,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 @dataclass(frozen=True)
 class Settings:
-    background: int = 2000  # paragraphs of the corpus, chosen by hash, that stand for unknown
-    longest_background: int = 2000  # characters; longer paragraphs are not learned from
+    background: int = 2000  # a word that one of twice as many paragraphs has is common; with
+    # as many or more, all unknown paragraphs together weigh as much as the templates
     confirmed: float = 0.7  # share of a template's 3-word runs that the paragraph must have
     false_alarms: float = 0.001  # of the background that the calibrated threshold lets pass
     iterations: int = 40
@@ -111,25 +112,24 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
     """text_key, tokens and paragraph_key of each line of ``docs`` (text)."""
-    lines = docs.select(
-        F.xxhash64("text").alias("text_key"), F.explode(F.split("text", "\n", -1)).alias("line")
-    )
-    return lines.select(
-        "text_key",
-        F.xxhash64("line").alias("paragraph_key"),
-        F.length("line").alias("length"),
-        _tokens(F.col("line")).alias("tokens"),
+    # cut into words inside explode: what is made there is never computed again further up
+    lines = F.transform(
+        F.split("text", "\n", -1),
+        lambda x: F.struct(F.xxhash64(x).alias("paragraph_key"), _tokens(x).alias("tokens")),
     )
+    return docs.select(F.xxhash64("text").alias("text_key"), F.inline(lines))
 
 
 def fit_licences(docs: DataFrame, settings: Settings | None = None) -> Model:
-    """Train on the templates and a bounded, hash-chosen background of ``docs`` (text).
-
-    Background paragraphs with a 3-word run of a template are left out. A template's words
-    that the background has too are no features by themselves, so a paragraph without any
-    of the others has no feature and is unknown without being scored. Half of the
-    background trains the unknown class, half calibrates the threshold: all but
-    ``false_alarms`` of it must stay below.
+    """Train on the templates and on every different paragraph of ``docs`` (text).
+
+    The background is all paragraphs but those with a 3-word run of a template. A template's
+    words that are common there (see ``Settings``) are no features by themselves, so a
+    paragraph without any of the others has no feature and is unknown without being scored.
+    Features are the templates' runs of words with one of the others. Half of the background
+    trains the unknown class, half calibrates the threshold: all but ``false_alarms`` of it
+    must stay below. Paragraphs with equal features are one row with their number, and those
+    without a feature only counted. The driver holds a row per word of the templates.
     """
     settings = settings or Settings()
     known = _templates(docs.sparkSession)
@@ -137,48 +137,83 @@ def fit_licences(docs: DataFrame, settings: Settings | None = None) -> Model:
         F.array_distinct(F.flatten(F.collect_list(_runs(F.col("tokens"), 3)))).alias("runs"),
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("words"),
     ).first()
-    lines = docs.select(F.sum(F.regexp_count("text", F.lit("\n")) + 1)).first()[0] or 0
-    place = F.pmod("paragraph_key", F.lit(_HASH_SPACE))
-    chosen = (
-        _paragraphs(docs)
-        .where(place * F.lit(lines) < F.lit(4 * settings.background * _HASH_SPACE))
-        .where(f"length <= {settings.longest_background} AND size(tokens) > 0")
-        .where(~F.arrays_overlap(_runs(F.col("tokens"), 3), _literals(runs)))
-        .dropDuplicates(["paragraph_key"])
-        .orderBy(place, "paragraph_key")
-        .limit(2 * settings.background)
-        .select("paragraph_key", "tokens")
+    half = F.pmod("paragraph_key", F.lit(2)).alias("half")
+    others = ~F.arrays_overlap(_runs(F.col("tokens"), 3), _literals(runs))
+    paragraphs = _paragraphs(docs.select("text"))
+    rest = written(
+        paragraphs.where("size(tokens) > 0")
+        .where(others)
+        .select("paragraph_key", F.array_intersect("tokens", _literals(words)).alias("words"))
+        .distinct(),
+        "licence-background",
     )
-    place = F.row_number().over(Window.orderBy("paragraph_key")) % 2
-    rest = written(chosen.withColumn("half", place), "licence-background")
-    common = {r[0] for r in rest.select(F.explode("tokens")).distinct().collect()}
+    sizes = {r["half"]: r["n"] for r in rest.groupBy(half).agg(F.count("*").alias("n")).collect()}
+    having = rest.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    least = sum(sizes.values()) / (2 * settings.background)
+    common = {r["word"] for r in having.where(F.col("n") >= least).collect()}
     words = sorted(set(words) - common)
-    examples = known.union(rest.where("half = 0").select(F.lit(UNKNOWN).alias("family"), "tokens"))
-    grams = examples.select("family", _features(F.col("tokens"), words).alias("grams"))
+    grams = _features(F.col("tokens"), words).alias("grams")
+    examples = known.select("family", grams)
     counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0)
-    counter = counter.fit(grams)
-    index = StringIndexer(inputCol="family", outputCol="label").fit(grams)
-    weight = F.when(F.col("family") == UNKNOWN, len(TEMPLATES) / settings.background).otherwise(1.0)
-    training = index.transform(counter.transform(grams)).withColumn("weight", weight)
+    counter = counter.fit(examples)
+    near = written(
+        paragraphs.where(F.arrays_overlap("tokens", _literals(words)))
+        .where(others)
+        .select("paragraph_key", grams)
+        .select(
+            "paragraph_key",
+            F.array_sort(F.array_intersect("grams", _literals(counter.vocabulary))).alias("grams"),
+        )
+        .distinct()
+        .groupBy(half, "grams")
+        .agg(F.count("*").alias("n")),
+        "licence-near-background",
+    )
+    unknown = near.where("half = 0").select(F.lit(UNKNOWN).alias("family"), "grams", "n")
+    featureless = sizes.get(0, 0) - (unknown.agg(F.sum("n")).first()[0] or 0)
+    if featureless:
+        row = docs.sparkSession.range(1).select(
+            F.lit(UNKNOWN).alias("family"), _literals([]).alias("grams"), F.lit(featureless).alias("n")
+        )
+        unknown = unknown.union(row)
+    each = len(TEMPLATES) / max(sizes.get(0, 0), settings.background)
+    weighed = examples.withColumn("weight", F.lit(1.0)).union(
+        unknown.select("family", "grams", F.col("n") * F.lit(each))
+    )
+    index = StringIndexer(inputCol="family", outputCol="label").fit(weighed)
     regression = LogisticRegression(
         maxIter=settings.iterations, regParam=0.002, family="multinomial", weightCol="weight"
-    ).fit(training)
+    ).fit(index.transform(counter.transform(weighed)))
     model = Model(counter, regression, list(index.labels), words, 0.5, settings)
-    alarms = _classified(rest.where("half = 1"), model)
-    allowed = int(settings.false_alarms * settings.background)
-    highest = alarms.orderBy(F.desc("probability")).limit(allowed + 1).collect()
-    if len(highest) > allowed:
-        model = replace(model, threshold=max(0.5, highest[-1]["probability"]))
-    return model
+    alarms = _scored(near.where("half = 1"), model).select("n", "probability")
+    allowed = int(settings.false_alarms * max(sizes.get(1, 0), settings.background))
+    return replace(model, threshold=_calibrated(written(alarms, "licence-alarms"), allowed))
 
 
-def _classified(paragraphs: DataFrame, model: Model) -> DataFrame:
-    """paragraph_key, family, probability and runs of the paragraphs that have a feature."""
-    near = paragraphs.select(
-        "paragraph_key",
-        _features(F.col("tokens"), model.words).alias("grams"),
-        _runs(F.col("tokens"), 3).alias("runs"),
-    ).where(F.size("grams") > 0)
+def _calibrated(alarms: DataFrame, allowed: int) -> float:
+    """The highest probability that more than ``allowed`` alarms reach; 0.5 at least.
+
+    ``alarms`` counts in ``n`` the paragraphs of a probability. It is selected digit by
+    digit: a round collects one count per digit, 2 ** 14 at most.
+    """
+    place = (F.col("probability") * F.lit(float(1 << _PROBABILITY_BITS))).cast("bigint")
+    inside = alarms.where("probability >= 0.5").select(place.alias("place"), "n")
+    found = 0
+    for shift in _DIGITS:
+        digit = F.shiftright("place", shift).alias("digit")
+        counts = inside.groupBy(digit).agg(F.sum("n").alias("n")).orderBy(F.desc("digit"))
+        for found, n in counts.collect():
+            if n > allowed:
+                break
+            allowed -= n
+        else:
+            return 0.5
+        inside = inside.where(digit == found)
+    return found / (1 << _PROBABILITY_BITS)
+
+
+def _scored(near: DataFrame, model: Model) -> DataFrame:
+    """``near`` (grams and other columns) with the likeliest family and its probability."""
     scored = model.regression.transform(model.counter.transform(near))
     chance = vector_to_array("probability")
     best = F.greatest(
@@ -188,9 +223,17 @@ def _classified(paragraphs: DataFrame, model: Model) -> DataFrame:
             if name != UNKNOWN
         )
     )
-    return scored.select("paragraph_key", "runs", best.alias("best")).select(
-        "paragraph_key", "runs", "best.*"
-    )
+    return scored.select(*near.columns, best.alias("best")).select(*near.columns, "best.*")
+
+
+def _classified(paragraphs: DataFrame, model: Model) -> DataFrame:
+    """paragraph_key, family, probability and runs of the paragraphs that have a feature."""
+    near = paragraphs.select(
+        "paragraph_key",
+        _features(F.col("tokens"), model.words).alias("grams"),
+        _runs(F.col("tokens"), 3).alias("runs"),
+    ).where(F.size("grams") > 0)
+    return _scored(near, model).drop("grams")
 
 
 def _confirmed(settings: Settings) -> Column:
