@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from tillscope.operators import commerce, customers, trends
 from tillscope.plans.facts import all_order_facts
 from tillscope.plans.order_store import merge_order_facts, read_order_facts
 from tillscope.sources.load import (
+    _cell,
+    _lines,
+    _odd,
     load_tables,
     read_csv_table,
     read_rejects,
@@ -225,3 +229,31 @@ def test_no_folder_is_left_in_the_old_layout(spark, tmp_path):
     root = str(tmp_path / "tables")
     load_tables(spark, _csv(tmp_path / "csv"), root)
     assert sorted(os.listdir(root)) == ["published", "versions"]
+
+
+def test_cells_of_single_lines_are_those_of_the_csv_reader(spark, tmp_path):
+    """Lines without a quote are cut at commas, and each line once, not once per condition."""
+    draw = random.Random(3)
+    parts = ["S1", "a ", "é", "2020-01-01", ",", ",", ",", ",", ",", '"', '"b,c"', '""', " ", "\t", "\\", "#", "7"]
+    text = ["".join(draw.choices(parts, k=draw.randint(1, 12))) for _ in range(3000)]
+    (tmp_path / "lines.csv").write_text("\n".join(text) + "\n")
+    names = ["a", "b", "c"]
+    lines = _lines(spark, str(tmp_path / "lines.csv"), names)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "w", "quote": '"', "escape": '"'}
+    whole = F.from_csv("_line", "a STRING, b STRING, c STRING, w STRING", options)
+    found = lines.select(
+        whole.alias("x"), _odd(names).alias("odd"), F.array(*map(_cell, range(3), names)).alias("y")
+    ).collect()
+    assert len(found) == 3000 and 100 < sum(not r.odd for r in found) < 2900
+    assert all(r.odd == (r.x.w is not None) for r in found)
+    assert all(r.odd or r.y == [r.x.a, r.x.b, r.x.c] for r in found)
+    good, _ = split_csv_table(spark, _one_store(tmp_path), "stores")
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(value") == 1  # before the conditions, not in each
+
+
+def _one_store(folder):
+    (folder / "stores.csv").write_text(
+        "store_id,store_name,state,city,opened_date,store_size_sqm\nS1,Main,NSW,Sydney,2020-01-01,5\n"
+    )
+    return str(folder / "stores.csv")

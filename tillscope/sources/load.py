@@ -78,16 +78,40 @@ def _as_declared(cell: Column, kind: T.DataType) -> Column:
     return cell.try_cast(kind)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of the files, with file, block of the file, and place within the scan."""
+def _lines(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Every line of the files, cut up, with file, block of the file, and place within the scan.
+
+    A line without a quote is cut at its commas into ``_plain``; only one with a quote needs
+    the CSV reader, slow on single lines, for ``_quoted``. Who reads no cells cuts none.
+    """
+    fields = ", ".join(f"`{name}` STRING" for name in names)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_whole", **_QUOTING}
+    line = F.col("value")
+    quote = F.contains(line, F.lit('"'))
+    place = F.monotonically_increasing_id()
+    # always so; as a place is no function of the row, Spark cuts once and not per condition
+    placed = place >= 0
     return spark.read.text(path).select(
-        F.col("value").alias("_line"),
+        line.alias("_line"),
+        F.when(~quote & placed, F.split(line, ",", -1)).alias("_plain"),
+        F.when(quote, F.from_csv(line, f"{fields}, _whole STRING", options)).alias("_quoted"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_place"),
+        place.alias("_place"),
     )
 
 
+def _cell(at: int, name: str) -> Column:
+    """A cell of ``_lines`` as text, null where empty."""
+    plain = F.nullif(F.get("_plain", F.lit(at)), F.lit(""))
+    return F.coalesce(plain, F.col(f"_quoted.`{name}`"))
+
+
+def _odd(names: list[str]) -> Column:
+    """Whether a line of ``_lines`` has too few or too many cells."""
+    return F.coalesce(F.size("_plain") != len(names), F.col("_quoted._whole").isNotNull())
+
+
 def _line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """``rows`` of ``lines`` with ``line``, their number in the file from 1.
 
@@ -120,26 +144,22 @@ def split_csv_table(
     given = [f for f in spec.struct if f.name in names or f.name not in spec.defaults]
     if names != [f.name for f in given]:
         raise ValueError(f"{path} has the columns {names}, not {[f.name for f in given]}")
-    lines = _lines(spark, path)
+    lines = _lines(spark, path, names)
     header = (F.col("_block") == 0) & (F.col("_line") == ",".join(names))
-    cells = ", ".join(f"`{f.name}` STRING" for f in given)
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_whole", **_QUOTING}
-    parsed = lines.where((F.length("_line") > 0) & ~header).withColumn(
-        "_cells", F.from_csv("_line", f"{cells}, _whole STRING", options)
-    )
+    parsed = lines.where((F.length("_line") > 0) & ~header)
+    at = {name: i for i, name in enumerate(names)}
 
     def cell(f: T.StructField) -> Column:
-        return F.col(f"_cells.`{f.name}`")
+        return _cell(at[f.name], f.name)
 
-    odd = F.col("_cells._whole").isNotNull()
+    odd = _odd(names)
     bad = [cell(f).isNotNull() & _as_declared(cell(f), f.dataType).isNull() for f in given]
     fits = ~odd & ~reduce(Column.__or__, bad)
-    at_hand = {f.name for f in given}
     typed = parsed.where(fits).select(
         *(
             (
                 _as_declared(cell(f), f.dataType)
-                if f.name in at_hand
+                if f.name in at
                 else F.expr(spec.defaults[f.name]).cast(f.dataType)
             ).alias(f.name)
             for f in spec.struct
