@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tillscope.operators import baskets, commerce, customers, products, profile, trends
+from tillscope.plans import session
 from tillscope.plans.basket_facts import open_basket_facts, store_basket_facts
 from tillscope.sources.load import load_tables, write_csv_tables
 from tillscope.sources.order_book import raw_star
@@ -155,6 +158,26 @@ def test_no_line_moves_when_facts_are_at_rest(stored, large_tables):
     assert "partial_sum" in first  # one row per category and customer leaves a task
 
 
+def test_tasks_of_the_category_report_grow_with_the_lines(star, large_tables, monkeypatch):
+    expected = products.category_performance(star).collect()
+    monkeypatch.setattr(session, "LINES_PER_TASK", 100)
+    tasks = -(-star.order_items.count() // 100)
+    report = products.category_performance(star)
+    dealt = re.findall(r"Exchange hashpartitioning\((?:order_id|product_id)#\d+L?, (\d+)\)", plan(report))
+    assert tasks > 8 and dealt and set(map(int, dealt)) == {tasks}
+    assert report.collect() == expected
+
+
+def test_buckets_of_the_category_facts_grow_with_the_lines(spark, monkeypatch):
+    query = __spark_entry__.queries()["w05b_category_from_facts"]
+    expected = query(spark, GIVEN).collect()
+    monkeypatch.setattr(session, "LINES_PER_TASK", 100)
+    tasks = -(-raw_star(spark, GIVEN).order_items.count() // 100)
+    report = query(spark, GIVEN)
+    assert tasks > 8 and f"out of {tasks}" in plan(report)
+    assert report.collect() == expected
+
+
 def test_facts_at_rest_give_the_same_reports(spark, star, stored):
     path, facts = stored
     spark.sql("DROP TABLE basket_facts_of_tests")  # a later session knows only the files
