@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tillscope.llm.store import written
-from tillscope.llm.tokens import tokens
+from tillscope.llm.tokens import ENCODED_BYTES, text_parts, tokens
 
 _PIECE = "doc_id bigint, piece bigint, start bigint, length bigint, ids_crc32 bigint"
 
@@ -156,18 +156,19 @@ def token_pieces(
     ending = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens(vocabulary, kind).encode
+        encode = tokens(vocabulary, kind).encode_all
         for batch in batches:
+            known = batch.column(0).to_pylist()
             rows: list[list[int | None]] = [[], [], [], [], []]
-            for name, text in zip(
-                batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), strict=True
-            ):
-                ids = np.frombuffer(encode(text) + ending, "<u2")
-                for piece, start in enumerate(range(0, len(ids), most)):
-                    own = ids[start : start + most]
-                    crc = zlib.crc32(own.astype("<u4").tobytes())
-                    for column, value in zip(rows, (name, piece, start, len(own), crc), strict=True):
-                        column.append(value)
+            for begin, end, texts in text_parts(batch.column(1), ENCODED_BYTES):
+                for name, own_ids in zip(known[begin:end], encode(texts), strict=True):
+                    ids = np.frombuffer(own_ids + ending, "<u2")
+                    for piece, start in enumerate(range(0, len(ids), most)):
+                        own = ids[start : start + most]
+                        crc = zlib.crc32(own.astype("<u4").tobytes())
+                        values = (name, piece, start, len(own), crc)
+                        for column, value in zip(rows, values, strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(column, pa.int64()) for column in rows],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],

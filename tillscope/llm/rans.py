@@ -35,7 +35,9 @@ def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Each gets at least 1; what rounding leaves over or takes too much is settled on
     the most frequent ones.
     """
-    symbols, counts = np.unique(ids, return_counts=True)
+    found = np.bincount(ids, minlength=1)
+    symbols = np.flatnonzero(found)
+    counts = found[symbols]
     total = 1 << SCALE
     scaled = np.maximum(1, (counts.astype(np.float64) * total / counts.sum()).astype(np.int64))
     order = np.argsort(-scaled, kind="stable")
@@ -59,37 +61,42 @@ def encode_frame(ids: np.ndarray) -> bytes:
     if not len(ids):
         return _HEAD.pack(_MAGIC, 0, 0, 0)
     symbols, scaled = frequency_table(ids)
-    index = np.zeros(1 << 16, np.int64)
-    index[symbols] = np.arange(len(symbols))
     segments = -(-len(ids) // SEGMENT)
     blocks = -(-segments // BLOCK)
-    padded = np.full(segments * SEGMENT, symbols[np.argmax(scaled)], np.uint16)
-    padded[: len(ids)] = ids
     steps = SEGMENT // LANES
-    rows = np.zeros((blocks * BLOCK, steps, LANES), np.int64)
-    rows[:segments] = index[padded].reshape(segments, steps, LANES)
-    rows = rows.reshape(blocks, BLOCK * steps, LANES)
-    frequency, start = scaled.astype(np.uint64), _starts(scaled)
-    limit = frequency << np.uint64(63 - SCALE)
+    padded = np.full(blocks * BLOCK * SEGMENT, symbols[np.argmax(scaled)], np.uint16)
+    padded[: len(ids)] = ids
+    # a step's ids of all blocks and lanes lie side by side
+    rows = padded.reshape(blocks, BLOCK * steps, LANES).transpose(1, 0, 2).copy()
+    frequency, start = np.ones(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
+    frequency[symbols], start[symbols] = scaled, _starts(scaled)
     last = (segments - (blocks - 1) * BLOCK) * steps  # steps of the last, maybe short, block
     states = np.full((blocks, LANES), _LOW, np.uint64)
-    words = np.zeros((blocks, BLOCK * steps, LANES), np.uint32)
-    given = np.zeros(words.shape, bool)
+    words = np.zeros(rows.shape, np.uint32)
+    given = np.zeros(rows.shape, bool)
     noted = np.zeros((blocks, BLOCK, LANES), np.uint64)
-    for step in range(BLOCK * steps - 1, -1, -1):
-        live = blocks if step < last else blocks - 1
+    half, total = np.uint64(32), np.uint64(1 << SCALE)
+    room = np.uint64(63 - SCALE)
+    for segment in range(BLOCK - 1, -1, -1):
+        live = blocks if segment * steps < last else blocks - 1
         if not live:
             continue
-        x, symbol = states[:live], rows[:live, step]
-        full = x >= limit[symbol]
-        given[:live, step] = full
-        words[:live, step] = x.astype(np.uint32)  # the low 32 bits
-        x = np.where(full, x >> np.uint64(32), x)
-        f = frequency[symbol]
-        whole = x // f
-        states[:live] = (whole << np.uint64(SCALE)) + (x - whole * f) + start[symbol]
-        if step % steps == 0:
-            noted[:live, step // steps] = states[:live]
+        own = rows[segment * steps : (segment + 1) * steps, :live]
+        f, begin = frequency[own], start[own]
+        limit, rest = f << room, total - f
+        x = states[:live]
+        for step in range(steps - 1, -1, -1):
+            at = segment * steps + step
+            full = x >= limit[step]
+            given[at, :live] = full
+            words[at, :live] = x  # the low 32 bits
+            x = x >> (full * half)
+            # the quotient moves up by SCALE bits, the remainder stays
+            x = x + x // f[step] * rest[step] + begin[step]
+        states[:live] = x
+        noted[:live, segment] = x
+    words = words.transpose(1, 0, 2)
+    given = given.transpose(1, 0, 2)
     parts = [
         _HEAD.pack(_MAGIC, len(ids), len(symbols), blocks),
         symbols.astype("<u2").tobytes(),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.llm.rans import decode_frame, encode_frame
-from tillscope.llm.tokens import tokens
+from tillscope.llm.tokens import ENCODED_BYTES, text_parts, tokens
 
 #: a frame is closed at the first document that ends beyond so many ids
 FRAME_IDS = 1 << 21
@@ -52,7 +52,7 @@ def write_token_store(
     Every row is a document of its own, in ascending order of doc_id, null first, rows
     of one id in order of text. Null and empty texts have no ids of their own;
     ``end_id`` is appended to each document. Other columns are ignored. An empty table
-    gives no frames. A task holds one frame of ids and one text at a time; texts move
+    gives no frames. A task holds one frame of ids and one range of texts at a time; texts move
     once, to their place in the order.
     """
     ending = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
@@ -60,7 +60,7 @@ def write_token_store(
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        encode = tokens(vocabulary, kind).encode
+        encode = tokens(vocabulary, kind).encode_all
         ids: list[bytes] = []
         names: list[int | None] = []
         held = 0
@@ -74,18 +74,18 @@ def write_token_store(
             )
 
         for batch in batches:
-            for name, text in zip(
-                batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), strict=True
-            ):
-                ids.append(encode(text) + ending)
-                names.append(name)
-                held += len(ids[-1]) // 2
-                if held >= frame_ids:
-                    yield closed()
-                    seq += 1
-                    ids.clear()
-                    names.clear()
-                    held = 0
+            known = batch.column(0).to_pylist()
+            for begin, end, texts in text_parts(batch.column(1), ENCODED_BYTES):
+                for name, own in zip(known[begin:end], encode(texts), strict=True):
+                    ids.append(own + ending)
+                    names.append(name)
+                    held += len(ids[-1]) // 2
+                    if held >= frame_ids:
+                        yield closed()
+                        seq += 1
+                        ids.clear()
+                        names.clear()
+                        held = 0
         if ids:
             yield closed()
 
