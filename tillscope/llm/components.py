@@ -24,35 +24,49 @@ def _small_star(links: DataFrame) -> DataFrame:
     return rest.union(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and component, the smallest node its links lead to, for every linked node.
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every node either hangs, once and with nothing on it, or hangs nowhere."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("hangs")).union(
+        links.select(F.col("v").alias("node"), F.lit(0).alias("hangs"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.count("*").alias("links"))
+    return not nodes.agg(F.expr("bool_or(hangs > 0 AND links > 1)")).first()[0]
+
+
+def settled(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """u and v, the smallest node that its links lead to, for every linked node but those v.
 
     ``links`` has columns u and v, any comparable type, either order, repeats and loops
-    allowed; rows with a null are ignored. Nodes without a link to another do not
-    appear. A round does a large-star and a small-star step, each an aggregation before
-    the move and a join on a node, which can be split where a node has many links; each
-    round's links are written, so nothing is computed twice and only counts reach the
-    driver. Raises if the rounds do not suffice; they grow with the logarithm of the
-    longest path.
+    allowed; rows with a null are ignored. A round does a large-star and a small-star step,
+    each an aggregation before the move and a join on a node, which can be split where a
+    node has many links; each round's links are written, so nothing is computed twice and
+    only one flag reaches the driver. Links that are stars already, such as an earlier
+    result, take no round. Raises if the rounds do not suffice; they grow with the
+    logarithm of the longest path.
     """
     clean = links.where("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
     current = written(clean.distinct(), "links")
     for _ in range(most_rounds):
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-        before = state.first()
-        if not before[0]:
-            break
+        if _all_stars(current):
+            return current
         stars = _large_star(current).where("u <> v").distinct()
-        settled = _small_star(stars).where("u <> v").distinct()
-        current = written(settled, "links")
-        after = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(after) == tuple(before):
-            break
-    else:
-        raise RuntimeError(f"links did not settle in {most_rounds} rounds")
-    roots = current.select(F.col("v").alias("node")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        current = written(_small_star(stars).where("u <> v").distinct(), "links")
+    raise RuntimeError(f"links did not settle in {most_rounds} rounds")
+
+
+def members(stars: DataFrame) -> DataFrame:
+    """node and component of every node of the ``settled`` links."""
+    roots = stars.select(F.col("v").alias("node")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node and component, the smallest node its links lead to, for every linked node.
+
+    Nodes without a link to another do not appear; see ``settled``.
+    """
+    return members(settled(links, most_rounds))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.llm.components import components
+from tillscope.llm.components import members, settled
 from tillscope.llm.shingles import mixed, set_key, shingle_sets
 from tillscope.llm.store import written
 from tillscope.llm.tokens import text_parts
@@ -233,17 +233,19 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v of the ``pairs`` whose whole sets overlap enough.
+    """The ``pairs`` (u, v and what else they carry) whose whole sets overlap enough.
 
     Pairs are written first: while they are few, Spark sends them to the sets, and only
     sets that a pair asks for move.
     """
     pairs = written(pairs, "jaccard-pairs")
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("left")), "u")
-    right = pairs.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("right")), "v")
+    right = pairs.select("u", "v").join(
+        sets.select(F.col("node").alias("v"), F.col("hashes").alias("right")), "v"
+    )
     common = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - common
-    return left.join(right, ["u", "v"]).where(common * 100 >= union * percent).select("u", "v")
+    return left.join(right, ["u", "v"]).where(common * 100 >= union * percent).select(*pairs.columns)
 
 
 def _leader_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -271,8 +273,8 @@ def _leader_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the component of their node, itself where it has no link."""
-    found = components(links).withColumnRenamed("node", "linked")
+    """``rows`` with the component of their node, itself where it hangs on none of the settled ``links``."""
+    found = links.select(F.col("u").alias("linked"), F.col("v").alias("component"))
     joined = rows.drop("component").join(found, F.col("node") == F.col("linked"), "left")
     return joined.withColumn("component", F.coalesce("component", "node")).drop("linked")
 
@@ -408,18 +410,20 @@ def _multiplied(percent: int, closest: bool):
         u, v, one, two, far = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in found)
         if closest and len(u):
             kept = _forest(one, two, np.lexsort((v, u, far)))
-            u, v = u[kept], v[kept]
+            u, v, one, two = u[kept], v[kept], one[kept], two[kept]
         del lefts, rights, found
         give_back()
-        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+        ends = {"u": np.minimum(u, v), "v": np.maximum(u, v), "one": np.minimum(one, two), "two": np.maximum(one, two)}
+        return pa.table({name: pa.array(column, pa.int64()) for name, column in ends.items()})
 
     return tile
 
 
 def _tile_pairs(gathered: DataFrame, sets: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """u, v of different components that may link: all, or of each tile a forest of the ``closest``."""
+    """u, v of the different components one, two that may link: all, or of each tile a forest of the ``closest``."""
     tiles = _tiles(gathered, sets).groupBy("major", "i", "j")
-    return tiles.applyInArrow(_multiplied(percent, closest), "u bigint, v bigint").distinct()
+    schema = "u bigint, v bigint, one bigint, two bigint"
+    return tiles.applyInArrow(_multiplied(percent, closest), schema).distinct()
 
 
 def ngram_jaccard(
@@ -457,13 +461,14 @@ def ngram_jaccard(
     wanted = index.select("node").distinct().join(nodes, "node")
     sets = written(_sets(source, wanted), "jaccard-sets")
 
-    links = written(_verified(_leader_pairs(index, percent), sets, percent), "jaccard-links")
+    links = settled(_verified(_leader_pairs(index, percent), sets, percent))
     gathered = written(_gathered(_labelled(index, links)), "jaccard-gathered")
     for closest in (True, False):
         labelled = written(_labelled(gathered, links), "jaccard-labelled")
         found = _verified(_tile_pairs(labelled, sets, percent, closest), sets, percent)
-        links = written(links.union(found), "jaccard-links")
-    joined = components(links)
+        # a link between two components links their smallest nodes: fewer links, fewer rounds
+        links = settled(links.union(found.select("one", "two")))
+    joined = members(links)
     labels = joined.join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("label"))
     known = nodes.join(joined.join(labels, "component").select("node", "label"), "node", "left")
     known = known.select("node", F.coalesce("label", "doc_id").alias("component_id"))
