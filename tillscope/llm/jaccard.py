@@ -136,23 +136,29 @@ def _index(docs: DataFrame, percent: int) -> DataFrame:
     """shingle, node, n: the start of each set's list, where another set may have it too.
 
     The order is: shingles below the bound by how many sets have them, then the others by
-    hash. What only one set has comes first and is counted, not kept. Frequent shingles are
-    dealt over many tasks; they come last, by hash.
+    hash. What only one set has, in however many copies, comes first and is counted, not
+    kept. Frequent shingles are dealt over many tasks; they come last, by hash. Copies leave
+    before the rows are dealt anew, once, by set.
     """
     postings = docs.mapInArrow(_postings(percent), _POSTING)
     block = Window.partitionBy("shingle", "salt")
     shared = (
         postings.withColumn("often", F.count("*").over(block))
         .withColumn("marked", F.max(F.col("node").isNull()).over(block))
-        .where("node IS NOT NULL AND (salt > 0 OR often > 1)")
+        .withColumn("several", F.min("node").over(block) < F.max("node").over(block))
+        .where("node IS NOT NULL AND (salt > 0 OR marked OR several)")
         .select(
             "shingle",
+            "salt",
             "node",
             "sizes",
             F.when((F.col("salt") > 0) | F.col("marked"), F.lit(1 << 62))
             .otherwise(F.col("often"))
             .alias("often"),
         )
+        .distinct()
+        .drop("salt")
+        .repartition("node")
     )
     index = F.col("shingle").bitwiseAND(1)
     below = (index == 1) | (F.col("shingle") < F.lit(_LOW_BOUND))
