@@ -292,6 +292,21 @@ def _near(
             done = upto
 
 
+def _gathered(
+    pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: int = 1 << 13
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, ``least`` and more at a time."""
+    held, n = [], 0
+    for some in pairs:
+        held.append(some)
+        n += len(some[0])
+        if n >= least:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _join_labels(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
     """Give all that ``left`` and ``right`` link the smallest of their labels, in place;
     a label is the spot of a row that has it as its own."""
@@ -326,7 +341,8 @@ def _links(
     head = vectors[:, :16].astype(np.float32)
     widest = 2 - 2 * settings.cosine + 1e-5  # square of a distance; if a part exceeds it, the whole does
     step = max(1, _NUMBERS // vectors.shape[1])
-    for left, right in _near(local[order], codes, size, piece == 0, settings.farthest):
+    near = _near(local[order], codes, size, piece == 0, settings.farthest)
+    for left, right in _gathered(near):
         met = np.ones(len(left), bool)
         if block is not None:
             met &= block[left] != block[right]
